@@ -7,10 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import bands, langid, pii, sharding
+from assaykit.llm import bands, langid, packing, pii, sharding, simhash, tiling, warc
 from assaykit.llm.common import read_table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer's file is. Imported here, as only these queries need the package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -19,6 +26,14 @@ def op2_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(read_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.quality(read_table(spark, sf_dir, "documents"))
 
@@ -27,9 +42,36 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), packing.PackingParams(tokenizer_path()))
+
+
+OP8_SQL = """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN first_id END AS refers_to,
+       url
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_interleaved_shards, op6_compression_bands, op7_personal_data)}
+    every = (
+        op1_language_id,
+        op2_interleaved_shards,
+        op3_simhash_anchors,
+        op5_string_tiling,
+        op6_compression_bands,
+        op7_personal_data,
+        op8_warc_salvage,
+        op9_hierarchical_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_salvage": OP8_SQL}
