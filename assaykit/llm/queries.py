@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import bands, langid, packing, pii, sharding, simhash, tiling, warc
+from assaykit.llm import bands, langid, licenses, packing, pii, repair, sharding, simhash, tiling, warc
 from assaykit.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,10 @@ def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), packing.PackingParams(tokenizer_path()))
 
 
+def op10_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents"), repair.RePairParams(tokenizer_path()))
+
+
 OP8_SQL = """
 SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
        CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
@@ -64,14 +72,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_language_id,
         op2_interleaved_shards,
         op3_simhash_anchors,
+        op4_license_scan,
         op5_string_tiling,
         op6_compression_bands,
         op7_personal_data,
         op8_warc_salvage,
         op9_hierarchical_packing,
+        op10_repair_files,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_salvage": OP8_SQL}
+    return {"op4_license_scan": licenses.oracle_sql(), "op8_warc_salvage": OP8_SQL}
