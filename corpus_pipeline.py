@@ -1,25 +1,53 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which
-``run`` writes as Parquet and reads again as the next stage's documents.
+``run`` writes as Parquet and reads again as the next stage's documents. All stages but the last return the columns they were
+given. A stage works on all rows that the one before kept; nothing is sampled or capped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import langid
+from assaykit.llm import langid, packing, pii, simhash, tiling
 from assaykit.llm.common import read_table, written
+from assaykit.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
+    """Documents whose language is rejected go: no letter, or two languages encode them alike."""
     return langid.keep_identified(docs)
 
 
-STAGES = [("language ID", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return simhash.keep_one_of_each(docs)
 
-#: Compression sizes, XXH64, checksums over token ids: SQL can't express these stages.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover half of a benchmark item or more go."""
+    return tiling.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; n_chars is counted anew."""
+    return pii.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, with their places in the packed sequences."""
+    return packing.pack(docs, packing.PackingParams(tokenizer_path()))
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("packing", packed),
+]
+
+#: Sizes of encodings, fingerprints, tiles and checksums over token ids: SQL can't express these stages.
 ORACLE_SQL = None
 
 
