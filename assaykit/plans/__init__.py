@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from assaykit.plans import corpus, documents, extraction, keyed, numeric, report  # noqa: F401  they register
+from assaykit.plans.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sorted(SQL.items()))
