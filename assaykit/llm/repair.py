@@ -3,8 +3,8 @@
 Documents are dealt into shards by ranges of doc_id and written in ascending order. A shard is a run of blocks, each with its own
 grammar: again and again, the most frequent pairs of neighbouring symbols are replaced by nonterminals, until no pair
 occurs ``min_count`` times, ``rounds`` are over, or symbols run out. One round replaces many pairs at once, chosen by
-falling frequency so that no symbol stands first in one and second in another: then no two occurrences overlap, and the
-result is the same as replacing them one after the other. Pairs don't reach over the end of a document.
+falling frequency so that no symbol stands first in one and second in another: then no two occurrences overlap (but for those of
+a symbol twice, which are taken from the left), and the result is the same as replacing them one after the other. Pairs don't reach over the end of a document.
 
 A block stores its rules, the length each nonterminal expands to, and where each document's symbols begin, so a document, or a
 stretch of one, is decoded without the rest (``decode``). Blocks are rows of Spark's text writer, which ends each by a
@@ -64,12 +64,13 @@ class Grammar:
 
 
 def _choose(pairs: np.ndarray, counts: np.ndarray, width: int, most: int) -> np.ndarray:
-    """Of pairs by falling count, those whose first symbol isn't a chosen second one, and the other way round."""
+    """Of pairs by falling count, those whose first symbol isn't a chosen second one, and the other way round; a pair of
+    one symbol twice has that symbol to itself."""
     order = np.lexsort((pairs, -counts))[: 4 * most]
     firsts, seconds, out = set(), set(), []
     for k in order.tolist():
         a, b = int(pairs[k]) >> width, int(pairs[k]) & ((1 << width) - 1)
-        if a != b and a not in seconds and b not in firsts:
+        if a not in seconds and b not in firsts and (a != b or (a not in firsts and b not in seconds)):
             firsts.add(a)
             seconds.add(b)
             out.append(k)
@@ -109,6 +110,11 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, p: RePairParams) -
         rule = np.searchsorted(chosen, key[at])
         hit = chosen[np.minimum(rule, len(chosen) - 1)] == key[at]
         at, rule = at[hit], rule[hit]
+        # only pairs of one symbol twice can overlap: in a run of them, every other one is replaced
+        alone = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.empty(0, dtype=bool)
+        begins = np.flatnonzero(alone)
+        odd = (at - np.repeat(at[begins], np.diff(np.append(begins, len(at))))) & 1 == 1
+        at, rule = at[~odd], rule[~odd]
         s[at] = (base + made + rule).astype(kind)
         last[at] = last[at + 1]
         keep = np.ones(len(s), dtype=bool)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaykit.llm.common import lookup, written
+from assaykit.llm.common import fresh, lookup, written
 from assaykit.llm.components import components
 
 BITS = 64
@@ -213,10 +213,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with all its columns, one row of each component: the one with the smallest doc_id."""
-    keepers = near_duplicates(docs, words).select("keep_id", "keep_text").distinct()
+    keep_id, keep_text, row_id, row_text, turn = fresh(docs, "keep_id", "keep_text", "row_id", "row_text", "turn")
+    keepers = near_duplicates(docs, words).select(F.col("keep_id").alias(keep_id), F.col("keep_text").alias(keep_text)).distinct()
     own_id, own_text = _identity(docs)
-    marked = docs.withColumns({"row_id_": own_id, "row_text_": own_text})
-    kept = marked.join(keepers, (F.col("row_id_") == F.col("keep_id")) & (F.col("row_text_") == F.col("keep_text")), "left_semi")
+    marked = docs.withColumns({row_id: own_id, row_text: own_text})
+    kept = marked.join(keepers, (F.col(row_id) == F.col(keep_id)) & (F.col(row_text) == F.col(keep_text)), "left_semi")
     # repeated rows share id and text: one of them stays
-    turn = Window.partitionBy("row_id_", "row_text_").orderBy("row_id_")
-    return kept.withColumn("row_turn_", F.row_number().over(turn)).filter("row_turn_ = 1").drop("row_id_", "row_text_", "row_turn_")
+    one = F.row_number().over(Window.partitionBy(row_id, row_text).orderBy(row_id))
+    return kept.withColumn(turn, one).filter(F.col(turn) == 1).drop(row_id, row_text, turn)
