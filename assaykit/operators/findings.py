@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assaykit.functions.text import fingerprint
+from assaykit.operators.scale import by_range, ranked
 
 SEVERITIES = ("low", "med", "high")
 
@@ -72,6 +72,9 @@ def anchor_problems(anchors: DataFrame, text: str, start: str, end: str) -> Data
     return anchors.withColumn("problem", problem)
 
 
-def interleaved(rows: DataFrame, source: str, order: str, total_order: str) -> DataFrame:
-    """Adds ``turn``: rows of each source in turn. The overall order is (turn, source)."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(order, total_order)))
+def interleaved(rows: DataFrame, source: str, order: str) -> DataFrame:
+    """Adds ``turn``: rows of each source in turn, from 1. The overall order is (turn, source). A source of any size is dealt over
+    ranges of the order; none is ranked in one task."""
+    dealt = by_range(rows, [order], "range_", "interleave")
+    out = ranked(dealt, source, "range_", [order], "turn_", "n_")
+    return out.withColumn("turn", F.col("turn_") + 1).drop("range_", "turn_", "n_")

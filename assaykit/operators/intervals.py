@@ -41,7 +41,9 @@ def band_semi_join(left: DataFrame, right: DataFrame, group: str, at: str, width
 def near_misses(stated: DataFrame, cells: DataFrame, key: list[str], value: str, cell: str, near: float = 0.02, most: int = 12) -> DataFrame:
     """Stated values that equal none of their key's cells but are within ``near`` of the nearest: a claim left behind by a revision.
     Keys of more than ``most`` distinct cells are lookup tables and say nothing. Cells are made distinct before they move."""
-    kept = cells.groupBy(*key).agg(F.collect_set(cell).alias("cells_")).filter(F.size("cells_") <= most)
+    own = cells.select(*key, cell).distinct()
+    few = own.groupBy(*key).agg(F.count("*").alias("n_")).filter(F.col("n_") <= most).drop("n_")
+    kept = own.join(few, key, "left_semi").groupBy(*key).agg(F.collect_list(cell).alias("cells_"))
     both = stated.join(kept, key).filter(~F.array_contains("cells_", F.col(value)))
     nearest = F.array_min(F.transform("cells_", lambda c: F.struct(F.abs(c - F.col(value)).alias("d"), c.alias("c"))))["c"]
     gap = relative_gap(F.col(value), F.col("nearest"))

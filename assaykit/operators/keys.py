@@ -9,11 +9,13 @@ from pyspark.sql.window import Window
 
 def undefined_keys(uses: DataFrame, defined: DataFrame, key: str, place: str, shown: int = 3) -> DataFrame:
     """Keys of ``uses`` that ``defined`` lacks: key, n_uses, the first places. If nothing is defined, nothing can be said, and
-    the result is empty."""
+    the result is empty. Counts are combined before they move, and places cut to the first ones, so no key's uses are gathered."""
     missing = uses.join(defined.select(key).distinct(), key, "left_anti")
     some = defined.limit(1).select(F.lit(1).alias("some_"))
     missing = missing.join(F.broadcast(some), how="left_semi")
-    return missing.groupBy(key).agg(F.count("*").alias("n_uses"), F.slice(F.array_sort(F.collect_list(place)), 1, shown).alias("first_places"))
+    firsts = missing.withColumn("k_", F.row_number().over(Window.partitionBy(key).orderBy(place))).filter(F.col("k_") <= shown)
+    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(place)).alias("first_places"))
+    return missing.groupBy(key).agg(F.count("*").alias("n_uses")).join(lists, key)
 
 
 def unused_entries(defined: DataFrame, uses: DataFrame, key: str, group: str, flag: Column, shown: int = 8) -> DataFrame:

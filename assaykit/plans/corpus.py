@@ -69,7 +69,7 @@ def q45_interleave_batches(spark: SparkSession, d: str) -> DataFrame:
     """Sources in turn, ten turns a batch; places are counted within a batch, so nothing is sorted as a whole."""
     from pyspark.sql.window import Window
 
-    rows = findings.interleaved(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "doc_id").withColumn("batch", F.floor(F.col("turn") / 10).cast("long"))
+    rows = findings.interleaved(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id").withColumn("batch", F.floor(F.col("turn") / 10).cast("long"))
     return rows.select("source", "doc_id", F.col("turn").cast("long"), F.row_number().over(Window.partitionBy("batch").orderBy("turn", "source")).cast("long").alias("place"), "batch")
 
 

@@ -1 +1 @@
-
+"""Sweeps that pick up where they stopped."""
