@@ -176,17 +176,22 @@ def _pieces(docs: DataFrame, p: PackingParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, w, half = Encoder.of(p.tokenizer), np.array([p.end_id], "<u4").tobytes(), p.window, p.window // 2
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encoder.encode(text.as_py() or "") + end
-                n = len(data) // 4
-                for start in range(0, n, w):
-                    part = data[4 * start : 4 * (start + w)]
-                    head = tail = 0
-                    if half < len(part) // 4 < w:
-                        head, tail = zlib.crc32(part[: 4 * half]), zlib.crc32(part[4 * half :])
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), head, tail, n))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 7, schema=schema)
+            names_left = iter(batch.column(0).to_pylist())
+            for lengths, ids in encoder.encode_many(batch.column(1)):
+                rows: list[tuple] = []
+                data, at = memoryview(ids.tobytes()), 0
+                for length in lengths.tolist():
+                    doc_id, own, n = next(names_left), data[4 * at : 4 * (at + length)], length + 1
+                    at += length
+                    for start in range(0, n, w):
+                        part = own[4 * start : 4 * (start + w)]
+                        if start + w >= n:
+                            part = bytes(part) + end
+                        head = tail = 0
+                        if half < len(part) // 4 < w:
+                            head, tail = zlib.crc32(part[: 4 * half]), zlib.crc32(part[4 * half :])
+                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), head, tail, n))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

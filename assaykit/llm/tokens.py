@@ -1,8 +1,9 @@
 """Token ids of whole texts by a tokenizers file, fast enough for a corpus.
 
-A byte-level BPE encodes each pre-token by itself, so ids are kept for the words met before and only
-new words go to the library. A text for which cutting at spaces, or Python's character classes, might differ from
-the library's rules goes to it whole; so does every text where the file's rules are of another kind.
+A byte-level BPE encodes each pre-token by itself. Texts are cut at spaces, Arrow numbers the distinct words of a
+batch, and only those that weren't met before go to the library; ids are then gathered for all words at once. A text
+for which cutting at spaces, or Python's character classes, might differ from the library's rules goes to it whole; so does
+every text where the file's rules are of another kind.
 """
 
 from __future__ import annotations
@@ -10,16 +11,24 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 6 << 20
 # Characters for which Python's \w, \d and \s say the same as \p{L}, \p{N} and \s of the library.
-_OTHER = re.compile(r"[^\n !-~¡-©«-¬®-±´¶-¸»¿-ÖØ-öø-ȳ‐–—‘-”…€]")
+_OTHER = r"[^\n !-~¡-©«-¬®-±´¶-¸»¿-ÖØ-öø-ȳ‐–—‘-”…€]"
 # White space on both sides of a space, or two spaces at the end, are one pre-token; cut at spaces they'd be two.
-_WIDE = re.compile(r"\s \s|  \Z")
+# Texts that hold none of _OTHER have no white space but spaces and newlines.
+_WIDE = r"[\n ] [\n ]|  \z"
 _PRE_TOKENS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Words kept in each worker; beyond that the store is emptied.
-KEPT_WORDS, KEPT_PRE_TOKENS = 600_000, 400_000
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words and pre-tokens kept in each worker. Once half as many are new, those not met since the last time are dropped.
+KEPT_WORDS, KEPT_PRE_TOKENS = 800_000, 200_000
 
 
 def _byte_table() -> dict[int, str]:
@@ -29,6 +38,26 @@ def _byte_table() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Store(dict):
+    """What ``make`` gives for each key, kept for two generations."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def trim(self, most: int) -> None:
+        if len(self) > most // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     _made: dict[str, "Encoder"] = {}
 
@@ -47,11 +76,12 @@ class Encoder:
             and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         )
         added = [x["content"] for x in rules.get("added_tokens", [])]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.odd = "|".join([_OTHER, _WIDE, *map(re.escape, added)])
         self.table = str.maketrans(_byte_table())
+        self.space = " ".translate(self.table)
         self.tokenize = self.whole.model.tokenize
-        self.words: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
+        self.pre_tokens = _Store(self._encode_pre_token)
+        self.words = _Store(self._encode_word)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -59,34 +89,86 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _pre_token(self, piece: str) -> bytes:
-        got = self.pre_tokens.get(piece)
-        if got is None:
-            level = piece.encode("utf-8").decode("latin-1").translate(self.table)
-            got = np.array([t.id for t in self.tokenize(level)], dtype="<u4").tobytes()
-            if len(self.pre_tokens) >= KEPT_PRE_TOKENS:
-                self.pre_tokens.clear()
-            self.pre_tokens[piece] = got
-        return got
+    def _encode_pre_token(self, piece: str) -> bytes:
+        ids = self.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.table))  # bytes as the model writes them
+        return struct.pack(f"<{len(ids)}I", *[t.id for t in ids])
 
-    def _new_word(self, word: str) -> bytes:
-        got = b"".join(map(self._pre_token, _PRE_TOKENS.findall(" " + word)))
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        self.words[word] = got
-        return got
+    def _encode_word(self, word: str) -> bytes:
+        if word.isalpha():
+            if word.isascii():
+                ids = self.tokenize(self.space + word)
+                return struct.pack(f"<{len(ids)}I", *[t.id for t in ids])
+            return self._encode_pre_token(" " + word)
+        lead = _LETTERS.match(word)
+        if lead:  # the letters are a word of their own, whatever follows
+            return self.words[lead[0]] + b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(word, lead.end())))
+        return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(" " + word)))
 
     def encode(self, text: str) -> bytes:
         """The ids, without special tokens added, as little-endian unsigned 32-bit integers."""
-        if not self.by_word or _OTHER.search(text) or _WIDE.search(text) or (self.added and self.added.search(text)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        get, out = self.words.get, []
-        if first:
-            out = [self._pre_token(p) for p in _PRE_TOKENS.findall(first)]
-        for w in rest:
-            ids = get(w)
-            out.append(self._new_word(w) if ids is None else ids)
-        return b"".join(out)
+        (_, ids), = self.encode_many(pa.array([text]))
+        return ids.tobytes()
+
+    def encode_many(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(how many ids each text has, all ids) of a string array, a slice after the other; nulls are empty texts, and end_id
+        ends each text if it is given."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield self._encode_slice(pc.fill_null(texts.slice(at, upto - at), ""), [] if end_id is None else [end_id])
+            at = upto
+
+    def _encode_slice(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if self.by_word:
+            odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        else:
+            odd = np.ones(len(texts), dtype=bool)
+        if not odd.any():
+            return self._by_word(texts, end)
+        lengths, ids = self._by_word(texts.filter(pa.array(~odd)), end)
+        parts = np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
+        out, own = [], iter(parts)
+        for is_odd, text in zip(odd.tolist(), texts):
+            out.append(np.array(self.whole.encode(text.as_py(), add_special_tokens=False).ids + end, dtype="<u4") if is_odd else next(own))
+        return np.array([len(x) for x in out], dtype=np.int64), np.concatenate(out)
+
+    def _by_word(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype="<u4")
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False).copy()
+        self.words.trim(KEPT_WORDS)
+        self.pre_tokens.trim(KEPT_PRE_TOKENS)
+        known = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        # what stands before the first space has no space before it, so each text has a first word of its own
+        firsts = words.take(pa.array(bounds[:-1])).to_pylist()
+        at[bounds[:-1]] = len(known) + np.arange(len(firsts))
+        known += [b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(w))) for w in firsts]
+        if end:  # a last word for each text
+            at = np.insert(at, bounds[1:], len(known))
+            bounds = bounds + np.arange(len(bounds))
+            known.append(struct.pack("<I", *end))
+        return gather(known, at, bounds)
+
+
+def gather(known: list[bytes], at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each run of words between bounds, and all ids in turn; word k has the ids known[k]."""
+    table = np.frombuffer(b"".join(known), dtype="<u4")
+    n = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) >> 2
+    begin = np.cumsum(n, dtype=np.int32) - n
+    held = n[at]
+    ends = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
+    lengths = ends[bounds[1:]] - ends[bounds[:-1]]
+    full = np.flatnonzero(held)  # words without ids, as an empty first one, take no step
+    if not len(full):
+        return lengths, np.empty(0, dtype="<u4")
+    run, size, start = begin[at[full]], held[full], ends[full]
+    # steps from each id's place in the table to the next one's: 1 within a word
+    step = np.ones(int(ends[-1]), dtype=np.int32)
+    step[0] = run[0]
+    step[start[1:]] = run[1:] - (run[:-1] + size[:-1] - 1)
+    return lengths, table[np.cumsum(step, dtype=np.int32)]
