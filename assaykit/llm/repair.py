@@ -47,7 +47,7 @@ class RePairParams:
     block_ids: int = 1 << 20
     shard_bytes: int = 32 << 20
     rounds: int = 3
-    rules_a_round: int = 4096
+    rules_a_round: int = 4096  # at most 32767
     min_count: int = 8
 
 
@@ -67,90 +67,110 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, width: int, most: int) -> np.
     """Of pairs by falling count, those whose first symbol isn't a chosen second one, and the other way round; a pair of
     one symbol twice has that symbol to itself."""
     order = np.lexsort((pairs, -counts))[: 4 * most]
+    ranked = pairs[order]
     firsts, seconds, out = set(), set(), []
-    for k in order.tolist():
-        a, b = int(pairs[k]) >> width, int(pairs[k]) & ((1 << width) - 1)
+    for k, (a, b) in enumerate(zip((ranked >> width).tolist(), (ranked & ((1 << width) - 1)).tolist())):
         if a not in seconds and b not in firsts and (a != b or (a not in firsts and b not in seconds)):
             firsts.add(a)
             seconds.add(b)
             out.append(k)
             if len(out) == most:
                 break
-    return np.sort(pairs[out])
+    return np.sort(ranked[out])
+
+
+_SLOT_BITS = 18
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    """Where a pair stands in the table of chosen pairs: the high bits of a product."""
+    if key.dtype == np.uint32:
+        return key * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS)
+    return key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)
+
+
+def _slots(chosen: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen pairs that have a slot to themselves, and what pair and which of them each slot holds. A pair without a slot isn't
+    replaced in this round."""
+    _, first = np.unique(_slot(chosen), return_index=True)
+    kept = chosen[np.sort(first)]
+    held, which = np.full(1 << _SLOT_BITS, none, dtype=chosen.dtype), np.zeros(1 << _SLOT_BITS, dtype=np.int32)
+    held[_slot(kept)], which[_slot(kept)] = kept, np.arange(len(kept))
+    return kept, held, which
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, p: RePairParams) -> Grammar:
     """The grammar of documents of the given lengths, whose ids (all below ``base``) follow one another."""
-    narrow = base < 1 << 16
+    narrow = base < (1 << 16) - 1
     width, kind = (16, np.uint32) if narrow else (32, np.uint64)
-    limit = (1 << 16 if narrow else 1 << 32) - base
+    none = kind((1 << 2 * width) - 1)  # no pair: the last symbol of this width isn't used
+    limit = (1 << width) - 1 - base
     s = ids.astype(kind)
-    last = np.zeros(len(s), dtype=bool)
-    last[np.cumsum(lengths) - 1] = True
+    ends = np.cumsum(lengths)  # past the last symbol of each document
     lefts, rights, sizes = [], [], [np.ones(base, dtype=np.int64)]
     made = 0
     for _ in range(p.rounds):
         if len(s) < 2 or made >= limit:
             break
-        key = s[:-1] << kind(width) | s[1:]
-        ranked = np.sort(key[~last[:-1]])
-        if not len(ranked):
-            break
-        cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        n = np.diff(np.append(cut, len(ranked)))
-        often = n >= p.min_count
-        chosen = _choose(ranked[cut[often]], n[often], width, min(p.rules_a_round, limit - made))
+        key = s[:-1] << kind(width)
+        key |= s[1:]
+        key[ends[:-1] - 1] = none
+        ranked = np.sort(key)
+        cut = np.flatnonzero(ranked[1:] != ranked[:-1])
+        first, n = ranked[np.concatenate([[0], cut + 1])], np.diff(np.concatenate([[-1], cut, [len(ranked) - 1]]))
+        often = (n >= p.min_count) & (first != none)
+        chosen = _choose(first[often], n[often], width, min(p.rules_a_round, limit - made))
         if not len(chosen):
             break
+        chosen, held, which = _slots(chosen, none)
         a, b = (chosen >> kind(width)).astype(np.int64), (chosen & kind((1 << width) - 1)).astype(np.int64)
-        total = base + made
-        is_first, is_second = np.zeros(total, dtype=bool), np.zeros(total, dtype=bool)
-        is_first[a], is_second[b] = True, True
-        at = np.flatnonzero(is_first[s[:-1]] & is_second[s[1:]] & ~last[:-1])
-        rule = np.searchsorted(chosen, key[at])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == key[at]
-        at, rule = at[hit], rule[hit]
-        # only pairs of one symbol twice can overlap: in a run of them, every other one is replaced
-        alone = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.empty(0, dtype=bool)
-        begins = np.flatnonzero(alone)
-        odd = (at - np.repeat(at[begins], np.diff(np.append(begins, len(at))))) & 1 == 1
-        at, rule = at[~odd], rule[~odd]
+        slot = _slot(key)
+        at = np.flatnonzero((held[slot] == key) & (key != none))
+        rule = which[slot[at]]
+        if (a == b).any():
+            # only pairs of one symbol twice can overlap: in a run of them, every other one is replaced
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+            odd = (at - np.repeat(at[begins], np.diff(np.append(begins, len(at))))) & 1 == 1
+            at, rule = at[~odd], rule[~odd]
         s[at] = (base + made + rule).astype(kind)
-        last[at] = last[at + 1]
         keep = np.ones(len(s), dtype=bool)
         keep[at + 1] = False
-        s, last = s[keep], last[keep]
+        s = s[keep]
+        ends = ends - np.searchsorted(at + 1, ends, "left")
         known = np.concatenate(sizes)
         lefts.append(a)
         rights.append(b)
         sizes.append(known[a] + known[b])
         made += len(chosen)
-    ends = np.flatnonzero(last) + 1
     empty = np.empty(0, dtype=np.int64)
     return Grammar(base, *(np.concatenate(x) if x else empty for x in (lefts, rights, sizes[1:])), s, np.concatenate([[0], ends[:-1]]) if len(ends) else empty)
 
 
-def expansions(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
-    """What every symbol stands for in one array, ids first, and where each symbol's part begins in it."""
-    begins = np.concatenate([np.arange(g.base), g.base + np.cumsum(g.length) - g.length])
-    n = np.concatenate([np.ones(g.base, dtype=np.int64), g.length])
+def expansions(g: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What every symbol stands for in one array, ids first; where each symbol's part begins in it, and how long it is. Rules that only
+    use symbols known before are expanded at once."""
+    begins = np.concatenate([np.arange(g.base), g.base + np.cumsum(g.length) - g.length]).astype(np.int32)
+    sizes = np.concatenate([np.ones(g.base, dtype=np.int32), g.length.astype(np.int32)])
     out = np.empty(g.base + int(g.length.sum()), dtype=np.uint32)
     out[: g.base] = np.arange(g.base)
-    for i, (a, b) in enumerate(zip(g.left.tolist(), g.right.tolist())):
-        at = int(begins[g.base + i])
-        for x in (a, b):
-            out[at : at + n[x]] = out[begins[x] : begins[x] + n[x]]
-            at += int(n[x])
-    return out, begins.astype(np.int32)
-
-
-def expand(symbols: np.ndarray, g: Grammar, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    needs = np.maximum.accumulate(np.maximum(g.left, g.right)) if len(g.left) else g.left
+    done = 0
+    while done < len(g.left):
+        upto = int(np.searchsorted(needs, g.base + done, "left"))
+        both = np.stack([g.left[done:upto], g.right[done:upto]], axis=1).ravel()
+        begin = int(begins[g.base + done])
+        part = expand(both, g, (out, begins, sizes))
+        out[begin : begin + len(part)] = part
+        done = upto
+    return out, begins, sizes
+
+
+def expand(symbols: np.ndarray, g: Grammar, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids that symbols stand for: one run of the table for each, all gathered at once."""
     if not len(symbols):
         return np.empty(0, dtype=np.uint32)
-    flat, begins = table
-    n = np.concatenate([np.ones(g.base, dtype=np.int32), g.length.astype(np.int32)])[symbols]
-    run = begins[symbols]
+    flat, begins, sizes = table
+    n, run = sizes[symbols], begins[symbols]
     ends = np.cumsum(n)
     # steps from each id's place in the table to the next one's: 1 within a run
     step = np.ones(int(ends[-1]), dtype=np.int32)
@@ -228,32 +248,47 @@ def write(docs: DataFrame, path: str, p: RePairParams) -> None:
     """Writes the ids of ``docs`` (doc_id, text) to files under ``path``, in ascending order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(p.tokenizer), np.array([p.end_id], "<u4").tobytes()
+        encoder = Encoder.of(p.tokenizer)
         base = encoder.whole.get_vocab_size()
         shard, before = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         names: list[int] = []
         held = 0
 
         def block() -> pa.RecordBatch:
             nonlocal held, before
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            out = to_block(compress(np.frombuffer(b"".join(ids), "<u4"), lengths, base, p), np.array(names), lengths, shard, before)
+            lengths = np.concatenate(sizes)
+            out = to_block(compress(np.concatenate(parts), lengths, base, p), np.array(names), lengths, shard, before)
             before += held
             held = 0
-            ids.clear()
+            parts.clear()
+            sizes.clear()
             names.clear()
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["block"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = encoder.encode(text.as_py() or "") + end
-                if ids and held + len(own) // 4 > p.block_ids:
-                    yield block()
-                ids.append(own)
-                names.append(_NULL_ID if doc_id is None else doc_id)
-                held += len(own) // 4
-        if ids:
+            left = [_NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
+            for lengths, ids in encoder.encode_many(batch.column(1), p.end_id):
+                done = 0
+                ends = np.cumsum(lengths)
+                while done < len(lengths):
+                    # as many documents as the block still takes, one at least if it is empty
+                    room = p.block_ids - held + (int(ends[done - 1]) if done else 0)
+                    upto = int(np.searchsorted(ends, room, "right"))
+                    if upto <= done:
+                        if held:
+                            yield block()
+                            continue
+                        upto = done + 1
+                    a, b = int(ends[done - 1]) if done else 0, int(ends[upto - 1])
+                    parts.append(ids[a:b])
+                    sizes.append(lengths[done:upto])
+                    names += left[:upto - done]
+                    del left[:upto - done]
+                    held += b - a
+                    done = upto
+        if held:
             yield block()
 
     slim = docs.select("doc_id", "text")
