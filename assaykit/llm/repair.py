@@ -45,7 +45,7 @@ class RePairParams:
     tokenizer: str
     end_id: int = 2
     block_ids: int = 1 << 20
-    shard_bytes: int = 32 << 20
+    shard_docs: int = 10_000
     rounds: int = 3
     rules_a_round: int = 4096  # at most 32767
     min_count: int = 8
@@ -292,9 +292,9 @@ def write(docs: DataFrame, path: str, p: RePairParams) -> None:
             yield block()
 
     slim = docs.select("doc_id", "text")
-    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = docs.count()  # from the files' footers: the texts aren't read for it
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = slim.repartitionByRange(max(1, -(-total // p.shard_bytes)), *order).sortWithinPartitions(*order)
+    dealt = slim.repartitionByRange(max(1, -(-n // p.shard_docs)), *order).sortWithinPartitions(*order)
     blocks = dealt.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     blocks.write.text(path)
 

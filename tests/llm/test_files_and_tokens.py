@@ -109,7 +109,7 @@ def test_plan_places_every_remainder_once():
 
 
 def test_repair_round_trip(spark, docs, clashing):
-    p = repair.RePairParams(PATH, block_ids=3000, shard_bytes=20000)
+    p = repair.RePairParams(PATH, block_ids=3000, shard_docs=30)
     got = repair.round_trip(docs, p).collect()
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     assert len(got) == len(rows)
