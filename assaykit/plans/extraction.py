@@ -19,6 +19,10 @@ def _cat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _files(name: str, text: str, *files: tuple[str, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias(name), F.coalesce(b, F.lit("")).alias(text)) for a, b in files])
+
+
 def _read(rows: DataFrame, raw: Column, bib: Column | None = None) -> DataFrame:
     return papers.read_papers(rows.select(F.col("l_partkey").alias("doc_id"), raw.alias("raw"), (F.lit(None).cast("string") if bib is None else bib).alias("bibliography")))
 
@@ -54,7 +58,7 @@ def q61_means_with_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS row, l_linenumber AS a, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5') AS row, l_linenumber AS a, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
 SELECT doc_id, CAST(row AS INTEGER) AS row, 1 AS col, CAST(q AS VARCHAR) || '.5' AS text, q + 0.5::DOUBLE AS number, 1 AS decimals FROM r
 UNION ALL SELECT doc_id, CAST(row AS INTEGER), 0, 'line ' || CAST(a AS VARCHAR), CAST(a AS DOUBLE), 0 FROM r
 """)
@@ -104,10 +108,12 @@ SELECT p_partkey AS repo_id, 'lr' AS raw_name, '0.' || p_size AS value, 30 AS bi
 """)
 def q66_repository_configs(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("repo_id"), "p_size")
-    files = F.array(
-        F.struct(F.lit("conf/base.yaml").alias("path"), _cat("# settings\nopt:\n  lr: 0.", F.col("p_size"), "\n  names:\n    - a\n").alias("content")),
-        F.struct(F.lit("train.py"), F.lit("import argparse\np = argparse.ArgumentParser()\np.add_argument('--lr', default=0.5)\np.add_argument('--x', default=f())\n")),
-        F.struct(F.lit("conf/local.json"), _cat('{"model": {"depth": ', F.col("p_size"), ', "none": null, "list": [1]}}')),
+    files = _files(
+        "path",
+        "content",
+        ("conf/base.yaml", _cat("# settings\nopt:\n  lr: 0.", F.col("p_size"), "\n  names:\n    - a\n")),
+        ("train.py", F.lit("import argparse\np = argparse.ArgumentParser()\np.add_argument('--lr', default=0.5)\np.add_argument('--x', default=f())\n")),
+        ("conf/local.json", _cat('{"model": {"depth": ', F.col("p_size"), ', "none": null, "list": [1]}}')),
     )
     rows = part.select("repo_id", F.explode(files).alias("f")).select("repo_id", "f.*")
     return repositories.read_files(rows).select("repo_id", F.explode("configs").alias("c")).select("repo_id", "c.raw_name", "c.value", "c.binding", "c.origin")
@@ -127,18 +133,16 @@ SELECT p_partkey AS repo_id, target, exists FROM part, (VALUES ('train.py', true
 def q68_entrypoints(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("repo_id"))
     readme = "```\npython train.py --x 1\npython3 ./train.py\ntorchrun tools/eval.py\npython -m pkg.run\nbash deep/x.sh\n```"
-    files = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in (("README.md", readme), ("train.py", ""), ("pkg/run/__init__.py", ""), ("src/deep/x.sh", ""))])
+    files = _files("path", "content", *[(p, F.lit(c)) for p, c in (("README.md", readme), ("train.py", ""), ("pkg/run/__init__.py", ""), ("src/deep/x.sh", ""))])
     return repositories.entrypoints(part.select("repo_id", F.explode(files).alias("f")).select("repo_id", "f.*"))
 
 
-@query("""
-WITH f AS (SELECT p_partkey, unnest(['main.tex', 'supplement.tex', 'sections/intro.tex']) AS member, unnest([p_size, 60, 90]) AS n, unnest([true, true, false]) AS doc FROM part)
-SELECT p_partkey AS path, 'main.tex' AS root FROM part
+@query("""SELECT p_partkey AS path, 'main.tex' AS root FROM part
 """)
 def q69_root_document(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("path"), "p_size")
     body = lambda n: F.concat(F.lit("\\documentclass{a}\\begin{document}"), F.repeat(F.lit("x"), n))
-    files = F.array(F.struct(F.lit("main.tex").alias("member"), body(F.col("p_size")).alias("text")), F.struct(F.lit("supplement.tex"), body(F.lit(60))), F.struct(F.lit("sections/intro.tex"), F.repeat(F.lit("y"), F.lit(90))))
+    files = _files("member", "text", ("main.tex", body(F.col("p_size"))), ("supplement.tex", body(F.lit(60))), ("sections/intro.tex", F.repeat(F.lit("y"), F.lit(90))))
     return archives.roots(part.select("path", F.explode(files).alias("f")).select("path", "f.*"))
 
 

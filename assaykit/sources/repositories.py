@@ -153,12 +153,12 @@ def entrypoints(files: DataFrame) -> DataFrame:
     rx = r"(?:^|\s)(?:python3?|torchrun|accelerate\s+launch|bash|sh|make)\s+(?:-m\s+([\w.]+)|([\w./-]+\.(?:py|sh)))"
     readme = files.filter(F.lower("path").rlike(r"(^|/)readme[^/]*$"))
     modules, scripts = F.regexp_extract_all("content", F.lit(rx), 1), F.regexp_extract_all("content", F.lit(rx), 2)
-    targets = readme.select("repo_id", F.explode(F.zip_with(modules, scripts, lambda m, s: F.when(m != "", F.concat(F.replace(m, F.lit("."), F.lit("/")), F.lit(".py"))).otherwise(s))).alias("target")).distinct()
+    targets = readme.select("repo_id", F.explode(F.zip_with(modules, scripts, lambda m, s: F.when(m != "", F.concat(F.replace(m, F.lit("."), F.lit("/")), F.lit(".py"))).otherwise(s))).alias("target"))
     parts = F.split("path", "/")
     ends = files.select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("target"))
     package = ends.filter(F.col("target").endswith("/__init__.py")).select("repo_id", F.regexp_replace("target", "/__init__[.]py$", ".py").alias("target"))
     known = ends.union(package).distinct().withColumn("found_", F.lit(True))
-    clean = targets.withColumn("target", F.regexp_replace("target", r"^\./", ""))
+    clean = targets.withColumn("target", F.regexp_replace("target", r"^\./", "")).distinct()
     return clean.join(known, ["repo_id", "target"], "left").select("repo_id", "target", F.coalesce("found_", F.lit(False)).alias("exists"))
 
 
