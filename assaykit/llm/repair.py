@@ -2,7 +2,7 @@
 
 Documents are dealt into shards by ranges of doc_id and written in ascending order. A shard is a run of blocks, each with its own
 grammar: again and again, the most frequent pairs of neighbouring symbols are replaced by nonterminals, until no pair
-occurs ``min_count`` times, ``rounds`` are over, or symbols run out. One round replaces many pairs at once, chosen by
+occurs ``min_count`` times or symbols run out (``rounds``, where given, ends it sooner). One round replaces many pairs at once, chosen by
 falling frequency so that no symbol stands first in one and second in another: then no two occurrences overlap (but for those of
 a symbol twice, which are taken from the left), and the result is the same as replacing them one after the other. Pairs don't reach over the end of a document.
 
@@ -46,7 +46,7 @@ class RePairParams:
     end_id: int = 2
     block_ids: int = 1 << 20
     shard_docs: int = 10_000
-    rounds: int = 3
+    rounds: int | None = None
     rules_a_round: int = 4096  # at most 32767
     min_count: int = 8
 
@@ -109,9 +109,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, p: RePairParams) -
     ends = np.cumsum(lengths)  # past the last symbol of each document
     lefts, rights, sizes = [], [], [np.ones(base, dtype=np.int64)]
     made = 0
-    for _ in range(p.rounds):
-        if len(s) < 2 or made >= limit:
-            break
+    while len(s) > 1 and made < limit and (p.rounds is None or len(lefts) < p.rounds):
         key = s[:-1] << kind(width)
         key |= s[1:]
         key[ends[:-1] - 1] = none

@@ -152,6 +152,21 @@ def test_grammar_is_exact_and_random_access():
         list(repair.read_blocks(bytes(damaged)))
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    p = repair.RePairParams(PATH)
+    passage = rng.permutation(40_000)[:1000].astype(np.uint32)
+    g = repair.compress(np.tile(passage, 1000), np.full(1000, 1000), 50_257, p)
+    assert len(g.symbols) == 1000 and g.length.max() == 1000
+    ids, lengths = (rng.zipf(1.3, size=30_000) % 300).astype(np.uint32), np.full(300, 100)
+    g = repair.compress(ids, lengths, 50_257, p)
+    owner = np.searchsorted(g.first, np.arange(len(g.symbols)), "right")
+    inner = owner[1:] == owner[:-1]
+    pairs, n = np.unique(np.stack([g.symbols[:-1][inner], g.symbols[1:][inner]]), axis=1, return_counts=True)
+    assert n.max() < p.min_count and len(g.left) > 100
+    assert (repair.expand(g.symbols, g, repair.expansions(g)) == ids).all()
+
+
 PAGES = "page_id long, url string, html string"
 
 
