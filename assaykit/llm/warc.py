@@ -6,10 +6,10 @@ that refer to it. Spark's own text writer puts the members into the shared folde
 line separator is an empty member, so that the file is valid gzip, any file system works, and a task that is
 run again replaces its file. The archives of one call hold about ``archive_bytes`` of payload each.
 
-The reader takes archives as whole binary values, gzip or plain. Where a member fails to inflate or its checksum is
+The reader takes archives as whole binary values, gzip, plain or both in turn. Where a member fails to inflate or its checksum is
 wrong, where a version line, length or end of a record is wrong, or a payload doesn't match its digest, it looks for the
-next member header or version line from which a record can be read, goes on there, and reports the bytes between as
-a quarantined gap. Every byte of an archive is in a record, in an empty member, or in a gap.
+next member header or version line, whichever comes first, from which a record can be read, goes on there, and reports the bytes between as
+a quarantined gap. What a broken member gave before it failed is read as well; its records carry the failure as their reason. Every byte of an archive is in a record, in an empty member, or in a gap.
 
 Odd input: a null html is an empty payload, always a response; a null url is written as an empty target; a null page_id is
 written as ``null`` and read back as null, after all ids; repeated rows get a record each, and equal payloads under one id refer to that
@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,13 +91,13 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     start, end = cut + 4, cut + 4 + int(length)
     if data[end : end + 4] != _END:
         return "record has no end"
-    kind, digest = fields.get(b"warc-type"), fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("ascii", "replace")
+    kind, confirmed, digest = fields.get(b"warc-type"), False, fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("ascii", "replace")
     if kind == b"response":
         payload = data[start:end]
         n, own = len(payload), hashlib.sha256(payload).hexdigest()
         if digest and own != digest:
             return "payload digest differs"
-        digest = own
+        confirmed, digest = bool(digest), own
     elif kind == b"revisit":
         stated = fields.get(b"x-payload-length", b"")
         if not stated.isdigit():
@@ -104,71 +105,119 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
         n = int(stated)
     else:
         return "unknown record type"
-    row = {"kind": "record", "page_id": _page(fields.get(b"warc-record-id")), "record_type": kind.decode(), "refers_to": _page(fields.get(b"warc-refers-to")) if kind == b"revisit" else None, "payload_bytes": n, "payload_digest": digest, "url": fields.get(b"warc-target-uri", b"").decode("ascii", "replace"), "reason": None}
+    row = {"kind": "record", "page_id": _page(fields.get(b"warc-record-id")), "record_type": kind.decode(), "refers_to": _page(fields.get(b"warc-refers-to")) if kind == b"revisit" else None, "payload_bytes": n, "payload_digest": digest, "url": fields.get(b"warc-target-uri", b"").decode("ascii", "replace"), "reason": None, "confirmed": confirmed}
     return row, end + 4
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int] | str:
-    """The content of the gzip member at ``at`` and its end, or what is wrong with it. What is fed goes up in steps, as
+@dataclass
+class Inflated:
+    """What a gzip member gave: its content, where in the archive it ends, and what is wrong with it (null: nothing). A cut-off one ends with
+    the archive."""
+
+    content: bytes
+    end: int
+    why: str | None = None
+    cut_off: bool = False
+
+
+def inflate(data: bytes, at: int, step: int = 1 << 15) -> Inflated:
+    """The content of the gzip member at ``at``, or of a broken one as far as it inflates. What is fed goes up in steps, as
     what is left over after a member's end is copied."""
-    d, out = zlib.decompressobj(31), []
+    d, out, start = zlib.decompressobj(31), [], at
     view = memoryview(data)
     while not d.eof:
         if at >= len(data):
-            return "member is cut off"
+            return Inflated(b"".join(out), at, "member is cut off", True)
         try:
             out.append(d.decompress(view[at : at + step]))
         except zlib.error as e:
-            return f"member: {str(e)[:60]}"
+            if step > 1:
+                # a step that fails gives nothing, so its bytes are fed again one by one
+                d = zlib.decompressobj(31)
+                out, step = [d.decompress(view[start:at])], 1
+                continue
+            return Inflated(b"".join(out), at, f"member: {str(e)[:60]}")
         at = min(at + step, len(data))
-    return b"".join(out), at - len(d.unused_data)
+    return Inflated(b"".join(out), at - len(d.unused_data))
 
 
 def _gap(start: int, end: int, reason: str) -> dict:
     return {"kind": "gap", "start": start, "end": end, "reason": reason}
 
 
+def _parts(content: bytes) -> Iterator[dict | str]:
+    """The records of a member's content, and what is wrong between them: records before damage stand, and so do those after it."""
+    at = 0
+    while at < len(content):
+        one = parse_record(content, at)
+        if isinstance(one, str):
+            yield one
+            more = _VERSION.search(content, at + 1)
+            at = more.start() if more else len(content)
+        else:
+            yield one[0]
+            at = one[1]
+
+
+def _rest(got: Inflated, at: int) -> list[dict]:
+    """The records of a broken member, with what is wrong with it as their reason. But for a member that is only cut off, one that no payload
+    digest confirms stands only where a confirmed one follows."""
+    rows = [one for one in _parts(got.content) if not isinstance(one, str)]
+    if not got.cut_off:
+        rows = rows[: max((i + 1 for i, row in enumerate(rows) if row["confirmed"]), default=0)]
+    return [row | {"start": at, "end": got.end, "reason": got.why} for row in rows]
+
+
+class _Starts:
+    """Where the next gzip magic or version line is; neither is searched again before its last find is passed."""
+
+    def __init__(self, data: bytes):
+        self.data, self.magic, self.version = data, -1, -1
+
+    def after(self, at: int, versions_from: int) -> int:
+        """The first magic after ``at`` or version line after that and from ``versions_from`` on; the archive's end if there is neither."""
+        if self.magic <= at:
+            found = self.data.find(_MAGIC, at + 1)
+            self.magic = found if found >= 0 else len(self.data)
+        if self.version < (least := max(at + 1, versions_from)):
+            m = _VERSION.search(self.data, least)
+            self.version = m.start() if m else len(self.data)
+        return min(self.magic, self.version)
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """The records of one archive and its gaps, as rows of FOUND, in order. For a record in a gzip member start and end are the member's."""
-    at, bad, why, n = 0, None, "", len(data)
-    packed = data[:3] == _MAGIC or not _VERSION.search(data[:4096])
+    at, bad, why, n, inside = 0, None, "", len(data), 0
+    starts = _Starts(data)
     while at < n:
         rows: list[dict] | None = None
-        if packed:
-            got = inflate(data, at) if data.startswith(_MAGIC, at) else "no member header"
-            if not isinstance(got, str):
-                content, end = got
-                rows, inner = [], 0
-                while inner < len(content):
-                    one = parse_record(content, inner)
-                    if isinstance(one, str):
-                        got = one
-                        # records before the damage stand; so do those after it
-                        more = _VERSION.search(content, inner + 1)
-                        rows.append(_gap(at, end, one))
-                        inner = more.start() if more else len(content)
-                    else:
-                        rows.append(one[0] | {"start": at, "end": end})
-                        inner = one[1]
+        kept: list[dict] = []
+        if data.startswith(_MAGIC, at):
+            got = inflate(data, at)
+            if got.why is None:
+                end = got.end
+                rows = [_gap(at, end, one) if isinstance(one, str) else one | {"start": at, "end": end} for one in _parts(got.content)]
+            else:
+                failed, kept = got.why, _rest(got, at)
+                # stored bytes of a member that gave records aren't read again as plain ones
+                inside = got.end if kept else inside
         else:
-            got = parse_record(data, at)
-            if not isinstance(got, str):
-                rows, end = [got[0] | {"start": at, "end": got[1]}], got[1]
+            one = parse_record(data, at)
+            if isinstance(one, str):
+                failed = one
+            else:
+                rows, end = [one[0] | {"start": at, "end": one[1]}], one[1]
+        if bad is not None and (rows is not None or kept):
+            yield _gap(bad, at, why)
+            bad = None
         if rows is not None:
-            if bad is not None:
-                yield _gap(bad, at, why)
-                bad = None
             yield from rows
             at = end
             continue
+        yield from kept
         if bad is None:
-            bad, why = at, got
-        if packed:
-            at = data.find(_MAGIC, at + 1)
-        else:
-            m = _VERSION.search(data, at + 1)
-            at = m.start() if m else -1
-        at = n if at < 0 else at
+            bad, why = at, failed
+        at = starts.after(at, inside)
     if bad is not None:
         yield _gap(bad, n, why)
 

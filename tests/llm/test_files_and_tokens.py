@@ -229,6 +229,36 @@ def test_salvage(plain):
     assert list(warc.salvage(b"")) == [] and [r["kind"] for r in warc.salvage(b"junk")] == ["gap"]
 
 
+def test_salvage_of_a_plain_archive_with_a_long_damaged_first_record():
+    payloads = [b"a" * 9000, b"\x1f\x8b\x08 no member " * 9, gzip.compress(b"not a record"), b"last"]
+    recs = [warc.record(i, "u", x, len(x), hashlib.sha256(x).hexdigest(), None) for i, x in enumerate(payloads)]
+    for broken in range(3):
+        data = b"".join(b"X" + r[1:] if i == broken else r for i, r in enumerate(recs))
+        assert {r["page_id"] for r in warc.salvage(data) if r["kind"] == "record"} == {0, 1, 2, 3} - {broken}
+    mixed = recs[0] + warc.gzip_member(recs[1]) + b"noise" + recs[2] + warc.gzip_member(recs[3])
+    rows = list(warc.salvage(mixed))
+    assert [r["page_id"] for r in rows if r["kind"] == "record"] == [0, 1, 2, 3]
+    assert [mixed[r["start"] : r["end"]] for r in rows if r["kind"] == "gap"] == [b"noise"]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_one_member_for_all_records(level):
+    plain, spans = archive(200, plain=True)
+    data = warc.gzip_member(plain, level)
+    assert [r["page_id"] for r in warc.salvage(data)] == list(range(200))
+    for at in (len(data) * 3 // 4, len(data) - 6):  # within the records, and the checksum
+        hurt = data[:at] + bytes([data[at] ^ 255, data[at + 1] ^ 255]) + data[at + 2 :]
+        for torn in (hurt, data[:at]):
+            rows = list(warc.salvage(torn))
+            pages = [r["page_id"] for r in rows if r["kind"] == "record"]
+            assert pages == sorted(set(pages)) and len(pages) > 130 and any(r["kind"] == "gap" for r in rows)
+            assert all(r["reason"] for r in rows)
+    # a member whose only record has nothing that confirms it stays a gap
+    one = bytearray(warc.gzip_member(warc.record(1, "u", b"", 200, "0" * 64, 0)))
+    one[-6] ^= 1
+    assert [r["kind"] for r in warc.salvage(bytes(one))] == ["gap"]
+
+
 def test_ranks_equal_a_window(spark):
     from pyspark.sql.window import Window
 
