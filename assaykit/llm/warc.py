@@ -11,6 +11,10 @@ wrong, where a version line, length or end of a record is wrong, or a payload do
 next member header or version line, whichever comes first, from which a record can be read, goes on there, and reports the bytes between as
 a quarantined gap. What a broken member gave before it failed is read as well; its records carry the failure as their reason. Every byte of an archive is in a record, in an empty member, or in a gap.
 
+A digest is held against the algorithm it names (md5 and the SHA family, hex or base32), a payload digest of an HTTP message against its
+body; one of an unknown algorithm confirms nothing and condemns nothing. Sound records of other types (``warcinfo``, ``request``,
+``metadata`` and the rest of WARC 1.1) are stepped over. A revisit that doesn't state its payload's length has a null one.
+
 Odd input: a null html is an empty payload, always a response; a null url is written as an empty target; a null page_id is
 written as ``null`` and read back as null, after all ids; repeated rows get a record each, and equal payloads under one id refer to that
 id: of rows that share the smallest id all are responses. An empty table writes no record. Control characters of a url are percent-encoded.
@@ -18,6 +22,7 @@ id: of rows that share the smallest id all are responses. An empty table writes
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -38,6 +43,9 @@ EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 _END = b"\r\n\r\n"
+# The record types of WARC 1.1.
+_TYPES = frozenset((b"response", b"revisit", b"warcinfo", b"request", b"metadata", b"resource", b"conversion", b"continuation"))
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})(?:;[^\r\n]*)?\r\n")
 FOUND = "kind string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, start long, end long, reason string"
 
 
@@ -71,41 +79,96 @@ def _page(urn: bytes | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
-    """The record that begins at ``at`` and its end, or what is wrong there."""
+_SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
+
+
+def agrees(stated: bytes, *contents: bytes) -> bool | None:
+    """Whether a digest (``algorithm:value`` in hex or base32; a bare value of 64 hex digits is SHA-256) is that of one of the contents;
+    null where its algorithm or form isn't known, so nothing can be said."""
+    name, sep, value = stated.decode("ascii", "replace").rpartition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    size = _SIZES.get(name if sep else "sha256")
+    if size is None:
+        return None
+    try:
+        want = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        want = b""
+    if len(want) != size:
+        return False if sep else None
+    return any(hashlib.new(name or "sha256", x).digest() == want for x in contents)
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of an HTTP body in chunks; null if it isn't one."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        if body[m.end() + size : m.end() + size + 2] != b"\r\n":
+            return None
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return None
+
+
+def payloads(block: bytes, content_type: bytes) -> list[bytes]:
+    """What may be meant by a block's payload, the likeliest first: of an HTTP message its body, as sent or with its chunks joined, else the block."""
+    head, sep, body = block.partition(_END)
+    if not content_type.lower().startswith(b"application/http") or not sep:
+        return [block]
+    joined = _unchunked(body) if re.search(rb"(?mi)^transfer-encoding:.*chunked", head) else None
+    return [body, *([] if joined is None else [joined]), block]
+
+
+def parse_record(data: bytes, at: int) -> tuple[dict | None, int] | str:
+    """The record that begins at ``at`` (null: a sound one of another type than response or revisit) and its end, or what is wrong there."""
     m = _VERSION.match(data, at)
     if not m:
         return "no version line"
     cut = data.find(_END, m.end())
     if cut < 0:
         return "header has no end"
-    fields = {}
+    fields, name = {}, b""
     for line in data[m.end() : cut].split(b"\r\n"):
+        if line[:1] in b" \t" and name:
+            fields[name] += b" " + line.strip()
+            continue
         name, sep, value = line.partition(b":")
         if not sep:
             return "bad header line"
-        fields[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        fields[name] = value.strip()
     length = fields.get(b"content-length", b"")
     if not length.isdigit() or len(length) > 18:
         return "bad content length"
     start, end = cut + 4, cut + 4 + int(length)
     if data[end : end + 4] != _END:
         return "record has no end"
-    kind, confirmed, digest = fields.get(b"warc-type"), False, fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("ascii", "replace")
+    kind, stated = fields.get(b"warc-type"), fields.get(b"warc-payload-digest", b"")
+    if kind not in _TYPES:
+        return "unknown record type"
+    block = data[start:end]
+    confirmed = agrees(fields[b"warc-block-digest"], block) if b"warc-block-digest" in fields else None
+    if confirmed is False:
+        return "block digest differs"
     if kind == b"response":
-        payload = data[start:end]
-        n, own = len(payload), hashlib.sha256(payload).hexdigest()
-        if digest and own != digest:
-            return "payload digest differs"
-        confirmed, digest = bool(digest), own
+        may_be = payloads(block, fields.get(b"content-type", b""))
+        payload = may_be[0]
+        if stated and not confirmed:
+            confirmed = agrees(stated, *may_be)
+            if confirmed is False:
+                return "payload digest differs"
+        n, digest = len(payload), hashlib.sha256(payload).hexdigest()
     elif kind == b"revisit":
-        stated = fields.get(b"x-payload-length", b"")
-        if not stated.isdigit():
-            return "revisit without length"
-        n = int(stated)
+        length = fields.get(b"x-payload-length")
+        if length is not None and not length.isdigit():
+            return "bad payload length"
+        n, digest = None if length is None else int(length), stated.removeprefix(b"sha256:").decode("ascii", "replace")
     else:
-        return "unknown record type"
-    row = {"kind": "record", "page_id": _page(fields.get(b"warc-record-id")), "record_type": kind.decode(), "refers_to": _page(fields.get(b"warc-refers-to")) if kind == b"revisit" else None, "payload_bytes": n, "payload_digest": digest, "url": fields.get(b"warc-target-uri", b"").decode("ascii", "replace"), "reason": None, "confirmed": confirmed}
+        return None, end + 4
+    row = {"kind": "record", "page_id": _page(fields.get(b"warc-record-id")), "record_type": kind.decode(), "refers_to": _page(fields.get(b"warc-refers-to")) if kind == b"revisit" else None, "payload_bytes": n, "payload_digest": digest, "url": fields.get(b"warc-target-uri", b"").decode("ascii", "replace"), "reason": None, "confirmed": bool(confirmed)}
     return row, end + 4
 
 
@@ -155,7 +218,8 @@ def _parts(content: bytes) -> Iterator[dict | str]:
             more = _VERSION.search(content, at + 1)
             at = more.start() if more else len(content)
         else:
-            yield one[0]
+            if one[0] is not None:
+                yield one[0]
             at = one[1]
 
 
@@ -206,7 +270,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             if isinstance(one, str):
                 failed = one
             else:
-                rows, end = [one[0] | {"start": at, "end": one[1]}], one[1]
+                rows, end = [one[0] | {"start": at, "end": one[1]}] if one[0] is not None else [], one[1]
         if bad is not None and (rows is not None or kept):
             yield _gap(bad, at, why)
             bad = None

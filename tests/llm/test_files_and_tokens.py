@@ -1,5 +1,6 @@
 """Archives, token files, packing, shared helpers and the pipeline: exact round trips and invariants."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -259,6 +260,36 @@ def test_salvage_of_one_member_for_all_records(level):
     assert [r["kind"] for r in warc.salvage(bytes(one))] == ["gap"]
 
 
+def foreign(kind, block, **fields):
+    """A record as other writers make it."""
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0>", "WARC-Target-URI: http://a/", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_salvage_of_other_writers_archives():
+    def b32(name, x):
+        return f"{name}:{base64.b32encode(hashlib.new(name, x).digest()).decode()}"
+
+    body, http = b"<p>page</p>", "application/http; msgtype=response"
+    sent = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n" + body[:4] + b"\r\n7\r\n" + body[4:] + b"\r\n0\r\n\r\n"
+    good = [
+        foreign("response", sent, WARC_Payload_Digest=b32("sha1", body), WARC_Block_Digest=b32("sha1", sent), Content_Type=http),
+        foreign("response", sent, WARC_Payload_Digest=b32("sha1", body), Content_Type=http),
+        foreign("response", chunked, WARC_Payload_Digest=b32("sha1", body), Content_Type=http),
+        *(foreign("response", body, WARC_Payload_Digest=x) for x in (b32("sha256", body), f"sha256:{hashlib.sha256(body).hexdigest().upper()}", f"md5:{hashlib.md5(body).hexdigest()}", "blake9:XYZ")),
+        foreign("revisit", b"", WARC_Payload_Digest=b32("sha1", body)),
+    ]
+    others = [foreign(k, b"a: b") for k in ("warcinfo", "request", "metadata")]
+    for pack in (bytes, warc.gzip_member):
+        rows = list(warc.salvage(b"".join(pack(x) for x in [others[0], *good, *others[1:]])))
+        assert [r["kind"] for r in rows] == ["record"] * len(good), rows
+        assert rows[0]["payload_bytes"] == len(body) and rows[0]["payload_digest"] == hashlib.sha256(body).hexdigest()
+        assert [r["reason"] for r in warc.salvage(pack(others[1].replace(b"request", b"reqXest")))] == ["unknown record type"]
+        for x in good[:6]:
+            assert [r["kind"] for r in warc.salvage(pack(x.replace(b"<p>p", b"<p>q")))] == ["gap"], x
+
+
 def test_ranks_equal_a_window(spark):
     from pyspark.sql.window import Window
 
