@@ -29,18 +29,24 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 @dataclass(frozen=True)
 class BandLimits:
     """whole: (bytes from, least ratio, greatest ratio), the last row whose length is reached counts.
-    chunk: the same for one full chunk. max_share_out: share of full chunks that may be out of their band."""
+    chunk: the same for one full chunk. max_share_out: share of full chunks that may be out of their band.
+
+    The limits are those of ordinary text, all texts of sf0.1 that the base rule leaves, by length: the lowest ratio divided by 1.2, but 1.4 at
+    most, as scripts of three bytes a letter encode less well; and the highest times 1.5, as markup and code encode better. There the ratios
+    are 1.35 to 1.85 from 256 bytes, 1.44 to 2.16 from 512, 1.69 to 2.41 from 1 KB, 1.92 to 2.61 from 2 KB, 2.09 to 2.76 from 4 KB, 2.33 to 2.90 from
+    16 KB (longer texts are too few to have their own row) and 2.07 to 2.63 for chunks; random base64 in words of 60 has 1.27 to 1.33 from 1.5 KB."""
 
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 1e9),
-        (256, 0.95, 4.5),
-        (1_024, 1.15, 6.0),
-        (4_096, 1.25, 8.0),
-        (16_384, 1.3, 10.0),
-        (65_536, 1.3, 14.0),
+        (256, 1.12, 2.8),
+        (512, 1.2, 3.2),
+        (1_024, 1.4, 3.6),
+        (2_048, 1.4, 3.9),
+        (4_096, 1.4, 4.1),
+        (16_384, 1.4, 4.4),
     )
     chunk_bytes: int = 4_096
-    chunk: tuple[float, float] = (1.15, 8.0)
+    chunk: tuple[float, float] = (1.4, 3.9)
     max_share_out: float = 0.5
     level: int = 3
 

@@ -298,6 +298,27 @@ def test_bands_reject_repetition_and_noise():
     assert noise and bands.verdict("", enc, limits) == (None, None, None)
 
 
+def test_bands_reject_encoded_data_and_repeated_sentences_of_every_length(spark):
+    import base64
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    sentences = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(8)]
+    texts, reasons = [], []
+    for n in (3700, 12_000, 24_000, 91_000):
+        code = base64.b64encode(rng.randbytes(n)).decode()[:n]
+        code = " ".join(code[i : i + 60] for i in range(0, n, 60))
+        fresh = " ".join(rng.choice(words) for _ in range(n // 6))
+        # every sentence comes several times, among new words
+        again = " ".join(rng.choice(sentences) + " " + " ".join(rng.choice(words) for _ in range(3)) for _ in range(n // 90))
+        texts += [code, fresh, again]
+        reasons += ["whole incompressible", None, "whole repetitive"]
+    texts.append(fresh[:70_000] + " " + code)
+    reasons.append("chunks incompressible")
+    got = sorted(bands.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r["reason"] for r in got] == reasons and [r["kept"] for r in got] == [x is None for x in reasons]
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
