@@ -362,3 +362,15 @@ def test_personal_data(spark, clashing, empty):
     again = pii.redacted(clashing)
     assert again.columns == clashing.columns and pii.personal_data(empty).count() == 0
     assert {r["n_chars"] for r in again.filter("doc_id = 41").collect()} == {0}
+
+
+def test_ibans_of_the_whole_registry():
+    # the registry's own examples
+    ibans = "SK3112000000198742637541 MT84MALT011000012345MTLCAST001S BG80BNBG96611020345678 HR1210010051863000160 CY17002001280000001200527600 EE382200221020145685 LV80BANK0000435195001 LT121000011101001000 SI56263300012039086 IS140159260076545510730339 LI21088100002324013AA MC5811222000010123456789030 TR330006100519786457841326 SA0380000000608010167519 AE070331234567890123456 IL620108000000099999999 BR1800360305000010009795493C1 LC55HEMM000100010012001200023015".split()
+    for iban in ibans:
+        for written in (iban, " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))):
+            text = f"Please pay to {written} AND SOON."
+            assert [(k, text[a:b]) for k, a, b, _ in pii.find(text)[1]] == [("iban", written)]
+            assert pii.redact(text) == "Please pay to [IBAN] AND SOON."
+        wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 100:02}" + iban[4:]
+        assert not [k for k, *_ in pii.find(f"Please pay to {wrong} AND SOON.")[1] if k == "iban"]
