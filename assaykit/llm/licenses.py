@@ -5,11 +5,16 @@ but letters and digits becomes one space, and its distinct word bigrams are comp
 2 * shared / (unit's + template's). A unit is of the template with the highest value, at ``threshold`` or more (ties: by
 licence, then by template text).
 
+What no matching unit covers is searched for notices among other words: windows of as many words as a template has slide over it, also across
+lines and blank lines, where they hold one of the template's pivots. Of windows that overlap the best one is a unit; ``NOTICES`` are templates for windows only.
+The SQL knows lines, blocks and whole texts; the two are equal where all notices stand on lines or in blocks of their own.
+
 Two bounds prune, neither loses a match. By size: Dice >= t needs a unit of t / (2 - t) to (2 - t) / t times the template's bigrams, so
 units meet templates by an equality join on their number of bigrams. By content: of a template's n bigrams a match
 holds all but n - ceil(n * t / (2 - t)), so it holds at least one of any one more than that; a document without any of those is left at once.
 
-Everything is DataFrame functions. Only the template table, whose size is fixed here, is broadcast; documents aren't shuffled, matches are.
+Everything is DataFrame functions. Only the template tables, whose size is fixed here, are broadcast; documents without any of those bigrams aren't shuffled, the few others
+are written once and read twice.
 
 Odd input: null texts and texts of fewer than two words have no bigram and match nothing. Units of one document that normalise to the
 same text count once, and so do rows with the same doc_id (null ids are one document). An empty table gives an empty result.
@@ -22,6 +27,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.llm.common import written
+
 THRESHOLD = 0.8
 
 # Licences and the wording of their notices, as widely published.
@@ -56,6 +63,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("proprietary", "All rights reserved."),
 )
+# Standard notices looked for in windows only, beside all of TEMPLATES.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+)
 # Words too common to tell licences from prose.
 _COMMON = frozenset("a an and any are as at be by for from in is it may not of on or that the this to under was will with you your".split())
 
@@ -94,12 +115,41 @@ def _template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...],
     return spark.createDataFrame(rows, "license string, template string, t_bigrams array<string>, n_bigrams int")
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _windows(rest: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """doc_id, license, value, norm of the windows that match in ``rest`` (doc_id, words). A window has as many words as its
+    template and holds one of its pivots. Of windows of a row that overlap the best stands: by value, then the longer, then by licence and place."""
+    table = []
+    for license, text in templates:
+        grams = template_bigrams(text)
+        size = len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split())
+        table += [(pivot, license, grams, size) for pivot in pivots(grams, threshold)]
+    wanted = F.broadcast(rest.sparkSession.createDataFrame(table, "pivot string, license string, t_bigrams array<string>, size int"))
+    rest = rest.withColumn("row_", F.monotonically_increasing_id())
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    hits = rest.select("row_", "doc_id", "words", F.posexplode(pairs).alias("p", "pivot")).join(wanted, "pivot")
+    # places where such a window may begin, from 0, so that it holds the pivot and ends within the words
+    first, last = F.greatest(F.lit(0), F.col("p") + 2 - F.col("size")), F.least(F.col("p"), F.greatest(F.lit(0), F.size("words") - F.col("size")))
+    begins = hits.filter(first <= last).withColumn("at", F.explode(F.sequence(first, last)))
+    window = F.slice("words", F.col("at") + 1, F.col("size"))
+    cut = begins.withColumn("norm", F.array_join(window, " ")).withColumn("bigrams", F.array_compact(_bigrams(F.col("norm"))))
+    value = 2.0 * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.size("bigrams") + F.size("t_bigrams"))
+    found = cut.withColumn("value", value).filter(F.col("value") >= threshold)
+    one = F.struct((-F.col("value")).alias("v"), (-F.col("size")).alias("s"), "license", "at", "norm")
+    ranked = F.array_sort(F.collect_set(one))
+    per_row = found.groupBy("row_", F.col("doc_id")).agg(ranked.alias("ranked"))
+    apart = lambda x, y: (x["at"] >= y["at"] - y["s"]) | (y["at"] >= x["at"] - x["s"])
+    nothing = F.slice("ranked", 1, 0)
+    stands = F.aggregate("ranked", nothing, lambda kept, x: F.when(F.forall(kept, lambda y: apart(x, y)), F.concat(kept, F.array(x))).otherwise(kept))
+    return per_row.select("doc_id", F.explode(stands).alias("w")).select("doc_id", "w.license", (-F.col("w.v")).alias("value"), "w.norm")
+
+
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
     """doc_id, license, dice (the best unit's, 6 decimals), n_units of every document (doc_id, text) and licence found in it."""
     spark = docs.sparkSession
-    markers = sorted({b for _, text in templates for b in pivots(template_bigrams(text), threshold)})
+    markers = sorted({b for _, text in templates + notices for b in pivots(template_bigrams(text), threshold)})
+    has_marker = lambda bigrams: F.arrays_overlap(bigrams, F.array(*map(F.lit, markers)))
     # zip_with pads the shorter array with null: the last word's pair is null, and no marker
-    rows = docs.select("doc_id", "text").filter(F.arrays_overlap(_bigrams(_norm(F.col("text"))), F.array(*map(F.lit, markers))))
+    rows = written(docs.select("doc_id", "text").filter(has_marker(_bigrams(_norm(F.col("text"))))), "license-rows")
     lines, parts = F.split("text", "\n"), F.split("text", "\n\n+")
     units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(lines, parts, F.array("text")))).alias("unit"))
     units = units.select("doc_id", _norm(F.col("unit")).alias("norm")).filter(F.instr("norm", " ") > 0)
@@ -109,7 +159,19 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     scored = both.select("doc_id", "norm", "license", "template", (2.0 * shared / (F.col("n_bigrams") + F.size("t_bigrams"))).alias("value")).filter(F.col("value") >= threshold)
     # the best template of each unit: highest value, then first by name
     best = scored.groupBy("doc_id", "norm").agg(F.min(F.struct((-F.col("value")).alias("v"), "license", "template")).alias("b"))
-    return best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.round(F.max(-F.col("b.v")), 6).alias("dice"), F.count("*").alias("n_units"))
+    best = best.select("doc_id", "norm", F.col("b.license").alias("license"), (-F.col("b.v")).alias("value"))
+    # windows are taken of what no matching unit covers: its lines become a word that no template has
+    matched = best.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("norm").alias("norms"))
+    rest = rows.join(matched, F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
+    taken = lambda unit: F.coalesce(F.array_contains("norms", _norm(unit)), F.lit(False))
+    gone = F.lit("#")
+    blocks = F.transform(F.split("text", "\n\n+"), lambda x: F.when(taken(x), gone).otherwise(x))
+    kept = F.transform(F.split(F.array_join(blocks, "\n"), "\n"), lambda x: F.when(taken(x) | (x == gone), gone).otherwise(_norm(x)))
+    norm = F.when(taken(F.col("text")), F.lit("")).otherwise(F.trim(F.regexp_replace(F.array_join(kept, " "), " +", " ")))
+    rest = rest.withColumn("norm", norm).filter(has_marker(_bigrams(F.col("norm")))).select("doc_id", F.split("norm", " ").alias("words"))
+    found = _windows(rest, templates + notices, threshold).groupBy("doc_id", "norm").agg(F.min(F.struct((-F.col("value")).alias("v"), "license")).alias("b"))
+    every = best.unionByName(found.select("doc_id", "norm", F.col("b.license").alias("license"), (-F.col("b.v")).alias("value")))
+    return every.groupBy("doc_id", "license").agg(F.round(F.max("value"), 6).alias("dice"), F.count("*").alias("n_units"))
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:

@@ -191,6 +191,25 @@ def test_licences(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_notices_among_other_words(spark):
+    prose = "The river bends here and the old mill stands on its northern bank."
+    gpl = [x for x in licenses.TEMPLATES if x[0] == "GPL-3.0"][-1][1]
+    gpl = gpl.replace(" This program is distributed", "\n\nThis program is distributed").replace(" See the GNU", "\n\nSee the GNU")
+    affero = next(t for name, t in licenses.NOTICES if name == "AGPL-3.0" and len(t) > 60)
+    data = [
+        (1, "Copyright (c) 2020 Jane Doe. Released under the MIT License."),
+        (2, f"{prose} Licensed under CC BY-NC 4.0. {prose}"),
+        (3, f"{LONG}\n\n{gpl}\n\n{prose}"),
+        (4, "\n".join(textwrap.wrap(f"{prose} {affero} {prose}", 60))),
+        (5, f"Released under the MIT License.\n{prose} Licensed under the MIT License. {prose}\n{prose}"),
+        (6, f"{prose} The licence of this mill is on the wall."),
+        (None, f"{prose} Released under the MIT License."),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(df).collect()}
+    assert got == {(1, "MIT"): (1.0, 1), (2, "CC-BY-NC-4.0"): (1.0, 1), (3, "GPL-3.0"): (1.0, 1), (4, "AGPL-3.0"): (1.0, 1), (5, "MIT"): (1.0, 2), (None, "MIT"): (1.0, 1)}
+
+
 def test_licence_pruning_loses_nothing(spark):
     rng = random.Random(2)
     data = []
