@@ -51,12 +51,14 @@ def test_encoder_equals_the_library():
 
 
 def test_encoder_forgets_without_harm(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT_WORDS", 8)
-    monkeypatch.setattr(tokens, "KEPT_PRE_TOKENS", 8)
+    monkeypatch.setattr(tokens, "WORD_BYTES", 2000)
+    monkeypatch.setattr(tokens, "PRE_TOKEN_BYTES", 2000)
     enc, rng = tokens.Encoder(PATH), random.Random(2)
     for _ in range(200):
-        t = " ".join("".join(rng.choice("abc") for _ in range(3)) for _ in range(6))
-        assert enc.encode(t) == ids_of(t, 0)[:-1].tobytes()
+        word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(0, 3))) + rng.choice(["", "", ".", ",\nx", "'s", "_1"])
+        t = " ".join(word() for _ in range(12))
+        assert enc.encode(t) == ids_of(t, 0)[:-1].tobytes(), repr(t)
+        assert enc.words.held <= 2400 and enc.pre_tokens.held <= 2400
 
 
 def test_packing(docs, clashing):
