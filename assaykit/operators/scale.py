@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaykit.sources.shared import scratch
+from assaykit.sources.shared import remove, scratch
 
 #: A lookup table may be broadcast up to this many rows; see ``lookup``.
 HOT_KEYS = 4000
@@ -21,7 +21,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``written`` wrote, once no plan that is still to run reads it."""
+    remove(df.sparkSession, df._written_to)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -83,6 +90,17 @@ def lookup(left: DataFrame, key: str, table: DataFrame, value: str, count: str,
     return both.withColumn(value, F.coalesce("hot_value_", "rest_value_")).drop("hot_key_", "hot_value_", "salt_", "rest_key_", "rest_value_", "rest_salt_")
 
 
+def running_total(df: DataFrame, key: str, value: str, out: str, most: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``key`` (distinct longs from 0 on). Blocks of ``most`` keys are summed each by itself,
+    and only one sum for each block is added up in one task."""
+    blocks = df.withColumn("block_", F.floor(F.col(key) / most))
+    along = Window.partitionBy("block_").orderBy(key)
+    sums = blocks.groupBy("block_").agg(F.sum(value).alias("sum_"))
+    before = sums.select("block_", (F.sum("sum_").over(Window.orderBy("block_")) - F.col("sum_")).alias("before_"))
+    inside = blocks.withColumn("inside_", F.sum(value).over(along) - F.col(value))
+    return inside.join(before, "block_").withColumn(out, F.col("before_") + F.col("inside_")).drop("block_", "inside_", "before_")
+
+
 def by_range(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
     """``df`` written out with a bucket number that rises along ``order``: the range of sampled bounds that a row falls in. Rows equal in
     ``order`` share a bucket."""
