@@ -1,6 +1,6 @@
 """Token files compressed by a Re-Pair grammar.
 
-Documents are dealt into shards by ranges of doc_id and written in ascending order. A shard is a run of blocks, each with its own
+Documents are dealt into shards by ranges of doc_id, as many as ``shard_bytes`` of text ask for, and written in ascending order. A shard is a run of blocks, each with its own
 grammar: again and again, the most frequent pairs of neighbouring symbols are replaced by nonterminals, until no pair
 occurs ``min_count`` times or symbols run out (``rounds``, where given, ends it sooner). One round replaces many pairs at once, chosen by
 falling frequency so that no symbol stands first in one and second in another: then no two occurrences overlap (but for those of
@@ -10,12 +10,12 @@ A block stores its rules, the length each nonterminal expands to, and where each
 stretch of one, is decoded without the rest (``decode``). Blocks are rows of Spark's text writer, which ends each by a
 newline byte, part of the format; so any file system works, and a task that is run again replaces its file.
 
-Block (little-endian): ``RPG1``, then unsigned 32-bit: checksum of all that follows to before the newline, its
-length, documents, rules, symbols, ids, first nonterminal, bytes of a symbol; signed 64-bit: shard, ids of the shard before the block;
-arrays: doc_id (i64, nulls are the smallest value), first symbol (u32) and ids (u32) of each document; left and right (u32) and
+Block (little-endian): ``RPG2``, then unsigned 32-bit: checksum of all that follows to before the newline, its
+length, documents, how many of them have a null id (they come first), rules, symbols, ids, first nonterminal, bytes of a symbol; signed
+64-bit: shard, ids of the shard before the block; arrays: doc_id (i64), first symbol (u32) and ids (u32) of each document; left and right (u32) and
 expansion length (u32) of each rule; symbols (u16 or u32); newline.
 
-Odd input: a null or empty text is the end id alone. Rows with a null id come first. Rows that share an id are ordered by a hash of the
+Odd input: a null or empty text is the end id alone. Rows with a null id come first, before any id. Rows that share an id are ordered by a hash of the
 text; equal rows are stored each. A very long text is one document of a block of its own. An empty table writes no block.
 """
 
@@ -31,13 +31,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from assaykit.llm.common import scratch, written
+from assaykit.llm.common import running_total, scratch, written
 from assaykit.llm.tokens import Encoder
 
-_MAGIC = b"RPG1"
-_NULL_ID = -(1 << 63)
+_MAGIC = b"RPG2"
+_HEAD = "<7I2q"
 
 
 @dataclass(frozen=True)
@@ -45,7 +44,7 @@ class RePairParams:
     tokenizer: str
     end_id: int = 2
     block_ids: int = 1 << 20
-    shard_docs: int = 10_000
+    shard_bytes: int = 24 << 20
     rounds: int | None = None
     rules_a_round: int = 4096  # at most 32767
     min_count: int = 8
@@ -177,12 +176,12 @@ def expand(symbols: np.ndarray, g: Grammar, table: tuple[np.ndarray, np.ndarray,
     return flat[np.cumsum(step, dtype=np.int32)]
 
 
-def to_block(g: Grammar, doc_ids: np.ndarray, lengths: np.ndarray, shard: int, before: int) -> bytes:
+def to_block(g: Grammar, doc_ids: np.ndarray, n_null: int, lengths: np.ndarray, shard: int, before: int) -> bytes:
     small = g.base + len(g.left) <= 1 << 16
     body = b"".join(
         [doc_ids.astype("<i8").tobytes(), g.first.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), g.left.astype("<u4").tobytes(), g.right.astype("<u4").tobytes(), g.length.astype("<u4").tobytes(), g.symbols.astype("<u2" if small else "<u4").tobytes()]
     )
-    rest = struct.pack("<6I2q", len(doc_ids), len(g.left), len(g.symbols), int(lengths.sum()), g.base, 2 if small else 4, shard, before) + body
+    rest = struct.pack(_HEAD, len(doc_ids), n_null, len(g.left), len(g.symbols), int(lengths.sum()), g.base, 2 if small else 4, shard, before) + body
     return _MAGIC + struct.pack("<2I", zlib.crc32(rest), len(rest)) + rest
 
 
@@ -191,6 +190,7 @@ class Block:
     shard: int
     before: int
     doc_ids: np.ndarray
+    n_null: int
     lengths: np.ndarray
     grammar: Grammar
 
@@ -227,8 +227,8 @@ def read_blocks(data: bytes) -> Iterator[Block]:
         body = memoryview(data)[at + 12 : at + 12 + n]
         if len(body) != n or zlib.crc32(body) != crc or data[at + 12 + n : at + 13 + n] != b"\n":
             raise ValueError(f"block at byte {at} is damaged")
-        docs, rules, symbols, total, base, width, shard, before = struct.unpack_from("<6I2q", body)
-        pos = struct.calcsize("<6I2q")
+        docs, n_null, rules, symbols, total, base, width, shard, before = struct.unpack_from(_HEAD, body)
+        pos = struct.calcsize(_HEAD)
 
         def take(count: int, kind: str) -> np.ndarray:
             nonlocal pos
@@ -238,7 +238,7 @@ def read_blocks(data: bytes) -> Iterator[Block]:
 
         doc_ids, first, lengths = take(docs, "<i8"), take(docs, "<u4").astype(np.int64), take(docs, "<u4").astype(np.int64)
         left, right, length = (take(rules, "<u4").astype(np.int64) for _ in range(3))
-        yield Block(shard, before, doc_ids, lengths, Grammar(base, left, right, length, take(symbols, f"<u{width}"), first))
+        yield Block(shard, before, doc_ids, n_null, lengths, Grammar(base, left, right, length, take(symbols, f"<u{width}"), first))
         at += 13 + n
 
 
@@ -251,13 +251,14 @@ def write(docs: DataFrame, path: str, p: RePairParams) -> None:
         shard, before = TaskContext.get().partitionId(), 0
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        names: list[int] = []
+        names: list[int | None] = []
         held = 0
 
         def block() -> pa.RecordBatch:
             nonlocal held, before
             lengths = np.concatenate(sizes)
-            out = to_block(compress(np.concatenate(parts), lengths, base, p), np.array(names), lengths, shard, before)
+            doc_ids = np.array([0 if x is None else x for x in names], dtype=np.int64)
+            out = to_block(compress(np.concatenate(parts), lengths, base, p), doc_ids, names.count(None), lengths, shard, before)
             before += held
             held = 0
             parts.clear()
@@ -266,7 +267,7 @@ def write(docs: DataFrame, path: str, p: RePairParams) -> None:
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["block"])
 
         for batch in batches:
-            left = [_NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
+            left = batch.column(0).to_pylist()
             for lengths, ids in encoder.encode_many(batch.column(1), p.end_id):
                 done = 0
                 ends = np.cumsum(lengths)
@@ -290,9 +291,9 @@ def write(docs: DataFrame, path: str, p: RePairParams) -> None:
             yield block()
 
     slim = docs.select("doc_id", "text")
-    n = docs.count()  # from the files' footers: the texts aren't read for it
+    total = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = slim.repartitionByRange(max(1, -(-n // p.shard_docs)), *order).sortWithinPartitions(*order)
+    dealt = slim.repartitionByRange(max(1, -(-total // p.shard_bytes)), *order).sortWithinPartitions(*order)
     blocks = dealt.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     blocks.write.text(path)
 
@@ -307,8 +308,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ids, ends = block.ids().astype("<u4").tobytes(), np.cumsum(block.lengths)
                     starts = ends - block.lengths
                     crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                    names = pa.array(block.doc_ids, mask=block.doc_ids == _NULL_ID)
-                    n = len(names)
+                    n = len(block.doc_ids)
+                    names = pa.array(block.doc_ids, mask=np.arange(n) < block.n_null)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.shard)), names, pa.array(block.before + starts), pa.array(block.lengths), pa.array(crcs, pa.int64())], names=["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
@@ -321,5 +322,5 @@ def round_trip(docs: DataFrame, p: RePairParams) -> DataFrame:
     write(docs, path, p)
     rows = written(read(spark, path), "token-rows")
     shards = rows.groupBy("shard").agg(F.max(F.col("in_shard") + F.col("n_tokens")).alias("n"))
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    before = running_total(shards, "shard", "n", "before").drop("n")
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard")
