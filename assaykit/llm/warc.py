@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import lookup, scratch
+from assaykit.llm.common import lookup, scratch, written
 
 LEAST_SHARED = 100
 _NO_ID = (1 << 63) - 1
@@ -299,8 +299,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
 
-def write(pages: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
-    """Writes a record for each row of ``pages`` (page_id, url, html) into archives under ``path``."""
+def write(pages: DataFrame, path: str, archive_bytes: int = 32 << 20) -> int:
+    """Writes a record for each row of ``pages`` (page_id, url, html) into archives under ``path``; returns how many rows there are."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     slim = pages.select("page_id", "url", "html").withColumns({"payload_digest": F.sha2(payload, 256), "payload_bytes": F.octet_length(payload).cast("long"), "own_id": F.coalesce("page_id", F.lit(_NO_ID))})
     n_rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
@@ -312,6 +312,7 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
     most = max(1, int(archive_bytes / max(1.0, total / max(1, n_rows) + 256)))
     members = out.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
     members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(path)
+    return n_rows
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -336,9 +337,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {FOUND}")
 
 
+def recovered(spark: SparkSession, path: str, log: str) -> DataFrame:
+    """The records of all archives under ``path``; the gaps between them are written as JSON lines under ``log``: path, start, end, reason."""
+    found = written(read(spark, path), "warc-found")
+    found.filter("kind = 'gap'").select("path", "start", "end", "reason").write.mode("overwrite").json(log)
+    return found.filter("kind = 'record'")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every row of ``pages``, from archives
-    written to the shared folder and read back."""
-    path = scratch(pages.sparkSession, "warc")
-    write(pages, path)
-    return read(pages.sparkSession, path).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    written to the shared folder and read back. Gaps are logged beside them; a record too few or too many is an error."""
+    spark = pages.sparkSession
+    path = scratch(spark, "warc")
+    n_written = write(pages, path)
+    records = recovered(spark, path, f"{path}-gaps")
+    n_read = records.count()
+    if n_read != n_written:
+        raise RuntimeError(f"{n_written} records were written and {n_read} read back; what is wrong is in {path}-gaps")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
