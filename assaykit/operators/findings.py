@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assaykit.functions.text import fingerprint
 from assaykit.operators.scale import by_range, ranked
@@ -24,20 +25,26 @@ def finding(rows: DataFrame, rule: str, severity: Column, subject: Column, messa
     return out.withColumn("message", checked).withColumn("fingerprint", fingerprint(F.col("rule"), F.col("message")))
 
 
+def _with_waivers(findings: DataFrame, waivers: DataFrame) -> tuple[DataFrame, Column]:
+    """Findings with all waivers of their rule beside them (a configuration: one row a rule), and the first (by seq) whose match is null or part of the
+    message, as a struct (seq, match, reason); null if there is none."""
+    own = waivers.groupBy(F.col("rule").alias("w_rule")).agg(F.array_sort(F.collect_list(F.struct("seq", "match", "reason"))).alias("waivers_"))
+    both = findings.join(own, F.col("rule") == F.col("w_rule"), "left")
+    hits = F.filter("waivers_", lambda w: w["match"].isNull() | F.contains(F.col("message"), w["match"]))
+    return both, F.try_element_at(hits, F.lit(1))
+
+
 def suppress(findings: DataFrame, waivers: DataFrame) -> DataFrame:
-    """Adds ``suppressed_by``: the reason of the first waiver (by seq) of the finding's rule whose match is null or part of the message.
-    Waivers are a configuration, joined by rule."""
-    w = waivers.select(F.col("rule").alias("w_rule"), "seq", "reason", "match")
-    hit = (F.col("rule") == F.col("w_rule")) & (F.col("match").isNull() | F.contains("message", F.col("match")))
-    both = findings.join(F.broadcast(w), hit, "left")
-    return both.groupBy(*findings.columns).agg(F.min_by("reason", "seq").alias("suppressed_by"))
+    """Adds ``suppressed_by``: the reason of the first waiver (by seq) of the finding's rule whose match is null or part of the message. Equal
+    findings stay as many as they are."""
+    both, first = _with_waivers(findings, waivers)
+    return both.withColumn("suppressed_by", first["reason"]).drop("w_rule", "waivers_")
 
 
 def unused_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
     """Waivers that are the first to match no finding."""
-    hit = (findings["rule"] == waivers["rule"]) & (waivers["match"].isNull() | F.contains(findings["message"], waivers["match"]))
-    per = findings.join(F.broadcast(waivers), hit).groupBy(findings["fingerprint"], findings["subject"]).agg(F.min(waivers["seq"]).alias("seq"))
-    return waivers.join(per.select("seq").distinct(), "seq", "left_anti")
+    both, first = _with_waivers(findings, waivers)
+    return waivers.join(both.select(first["seq"].alias("seq")).filter("seq IS NOT NULL").distinct(), "seq", "left_anti")
 
 
 def directed(findings: DataFrame, directives: DataFrame) -> DataFrame:
@@ -60,18 +67,30 @@ def severity_counts(findings: DataFrame, by: list[str], floor: str = "med") -> D
     return findings.groupBy(*by).agg(*counts, F.count_if(~live).alias("n_suppressed"), over.cast("int").alias("exit_code"))
 
 
-def anchor_problems(anchors: DataFrame, text: str, start: str, end: str) -> DataFrame:
-    """Adds ``problem``: why a span doesn't hold, or null."""
+def anchor_problems(anchors: DataFrame, text: str, start: str, end: str, line: str | None = None) -> DataFrame:
+    """Adds ``problem``: why a span doesn't hold, or null. With ``line``, the line that the anchor claims to begin on (from 1) is held against the text too."""
     got = F.substring(F.col(text), F.col(start) + 1, F.col(end) - F.col(start))
+    before = F.substring(F.col(text), F.lit(1), F.col(start))
     problem = (
         F.when(F.col(text).isNull(), "missing-source")
         .when((F.col(start) < 0) | (F.col(end) > F.length(text)) | (F.col(start) > F.col(end)), "out-of-bounds")
         .when(F.col(start) == F.col(end), "empty")
         .when(F.trim(F.translate(got, "\n\t\r", "   ")) == "", "whitespace")
     )
+    if line:
+        problem = problem.when(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1 != F.col(line), "wrong-line")
     return anchors.withColumn("problem", problem)
 
 
+def audit(checked: DataFrame, by: str, order: list[str], shown: int = 20) -> DataFrame:
+    """n_checked, n_failed, n_missing and the first failures of each group of anchors with their ``problem``: a source that isn't at hand is missing,
+    not a failure. Failures are cut to the first ones before they are gathered; their number isn't cut."""
+    bad = F.col("problem").isNotNull() & (F.col("problem") != "missing-source")
+    counts = checked.groupBy(by).agg(F.count_if(F.col("problem").isNull() | bad).alias("n_checked"), F.count_if(bad).alias("n_failed"), F.count_if(F.col("problem") == "missing-source").alias("n_missing"))
+    first = checked.filter(bad).withColumn("k_", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("k_") <= shown)
+    return counts.join(first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, "problem"))).alias("failures")), by, "left")
+
+
 def interleaved(rows: DataFrame, source: str, order: str) -> DataFrame:
     """Adds ``turn``: rows of each source in turn, from 1. The overall order is (turn, source). A source of any size is dealt over
     ranges of the order; none is ranked in one task."""

@@ -7,27 +7,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def undefined_keys(uses: DataFrame, defined: DataFrame, key: str, place: str, shown: int = 3) -> DataFrame:
-    """Keys of ``uses`` that ``defined`` lacks: key, n_uses, the first places. If nothing is defined, nothing can be said, and
-    the result is empty. Counts are combined before they move, and places cut to the first ones, so no key's uses are gathered."""
-    missing = uses.join(defined.select(key).distinct(), key, "left_anti")
-    some = defined.limit(1).select(F.lit(1).alias("some_"))
-    missing = missing.join(F.broadcast(some), how="left_semi")
-    firsts = missing.withColumn("k_", F.row_number().over(Window.partitionBy(key).orderBy(place))).filter(F.col("k_") <= shown)
-    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(place)).alias("first_places"))
-    return missing.groupBy(key).agg(F.count("*").alias("n_uses")).join(lists, key)
-
-
-def unused_entries(defined: DataFrame, uses: DataFrame, key: str, group: str, flag: Column, shown: int = 8) -> DataFrame:
-    """Entries of ``defined`` nobody uses, one row for each group: how many, the first keys, whether ``flag`` holds for all. The first
+def undefined_keys(uses: DataFrame, defined: DataFrame, key: str, place: str, shown: int = 3, within: str | None = None) -> DataFrame:
+    """Keys of ``uses`` that ``defined`` lacks: key, n_uses, first_places. If nothing is defined, nothing can be said, and
+    the result is empty. ``within`` names a column that both share, as a document: then all of this holds within each of its values. Counts
+    are combined before they move, and places cut to the first ones, so no key's uses are gathered."""
+    by = [within, key] if within else [key]
+    missing = uses.join(defined.select(*by).distinct(), by, "left_anti")
+    if within:
+        missing = missing.join(defined.select(within).distinct(), within, "left_semi")
+    else:
+        missing = missing.join(F.broadcast(defined.limit(1).select(F.lit(1).alias("some_"))), how="left_semi")
+    firsts = missing.withColumn("k_", F.row_number().over(Window.partitionBy(*by).orderBy(place))).filter(F.col("k_") <= shown)
+    lists = firsts.groupBy(*by).agg(F.array_sort(F.collect_list(place)).alias("first_places"))
+    return missing.groupBy(*by).agg(F.count("*").alias("n_uses")).join(lists, by)
+
+
+def unused_entries(defined: DataFrame, uses: DataFrame, key: str, group: str, flag: Column, shown: int = 8, within: str | None = None, place: str | None = None) -> DataFrame:
+    """Entries of ``defined`` nobody uses, one row for each group: n_unused, first_keys, all_flagged (whether ``flag`` holds for all), and
+    first_place if ``place`` is given. ``within`` names a column that both share; then a use only counts within its value. The first
     keys come from a ranked prefix, so no group's keys are gathered."""
-    unused = defined.join(uses.select(key).distinct(), key, "left_anti").withColumn("flag_", flag)
+    by = [within, key] if within else [key]
+    unused = defined.join(uses.select(*by).distinct(), by, "left_anti").withColumn("flag_", flag)
     ranked = unused.withColumn("k_", F.row_number().over(Window.partitionBy(group).orderBy(key))).filter(F.col("k_") <= shown)
     firsts = ranked.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("first_keys"))
-    counts = unused.groupBy(group).agg(F.count("*").alias("n_unused"), F.bool_and("flag_").alias("all_flagged"))
+    places = [F.min(place).alias("first_place")] if place else []
+    counts = unused.groupBy(group).agg(F.count("*").alias("n_unused"), F.bool_and("flag_").alias("all_flagged"), *places)
     return counts.join(firsts, group)
 
 
+def share_of(rows: DataFrame, group: str, flag: Column, least: float, name: str, shown: int = 5) -> DataFrame:
+    """Groups in which ``flag`` holds for at least ``least`` of the rows: n, n_flagged, share, first_names (the first names among the
+    flagged ones, from a ranked prefix of them)."""
+    per = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_flagged")).withColumn("share", F.col("n_flagged") / F.col("n")).filter(F.col("share") >= least)
+    names = rows.filter(flag).select(group, name).distinct().withColumn("k_", F.row_number().over(Window.partitionBy(group).orderBy(name))).filter(F.col("k_") <= shown)
+    return per.join(names.groupBy(group).agg(F.array_sort(F.collect_list(name)).alias("first_names")), group, "left")
+
+
+def single_literal(rows: DataFrame, group: str, value: str, varies: Column, most: int = 1) -> DataFrame:
+    """Groups none of whose rows vary and that hold at most ``most`` distinct values: n_values, first_value, n."""
+    per = rows.groupBy(group).agg(F.bool_or(varies).alias("varies_"), F.count_distinct(value).alias("n_values"), F.min(value).alias("first_value"), F.count("*").alias("n"))
+    return per.filter(~F.coalesce("varies_", F.lit(False)) & (F.col("n_values") <= most)).drop("varies_")
+
+
 def effective_values(rows: DataFrame, keys: list[str], strength: str, value: str) -> DataFrame:
     """The value at the greatest strength of each key; null where that level holds more than one value. Candidates at that level are
     counted. Two aggregations, both combined before they move: the strongest level, then its values."""
@@ -57,7 +78,7 @@ def exactly_one_ladder(rows: DataFrame, facts: DataFrame, levels: list[str], val
     for i, level in enumerate(levels):
         own = facts.groupBy(level).agg(F.count("*").alias(f"c{i}_"), F.min(value).alias(f"v{i}_"))
         out = out.join(own, level, "left").fillna(0, [f"c{i}_"])
-    settled, source, several = F.lit(None).cast("double"), F.lit("none"), F.lit(0).cast("long")
+    settled, source, several = F.lit(None).cast(facts.schema[value].dataType), F.lit("none"), F.lit(0).cast("long")
     for i in reversed(range(len(levels))):
         c = F.col(f"c{i}_")
         settled = F.when(c == 1, F.col(f"v{i}_")).when(c == 0, settled)

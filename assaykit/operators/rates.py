@@ -73,3 +73,29 @@ def greedy_budget(rows: DataFrame, group: str, order: str, name: str, length: st
         return F.struct(F.when(fits, acc["used"] + x["l"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["names"], F.array(x["n"].cast("bigint")))).otherwise(acc["names"]).alias("names"))
 
     return rows.groupBy(group).agg(F.aggregate(items, start, step).alias("a")).select(group, "a.used", "a.names")
+
+
+def quote_rates(quotes: DataFrame, by: str, verdict: str) -> DataFrame:
+    """n and share of each verdict on a model's quotes within each group, and the share that was located."""
+    per = quotes.groupBy(by, verdict).agg(F.count("*").alias("n"))
+    total = per.groupBy(by).agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col(verdict) == "located", F.col("n")).otherwise(0)).alias("n_located"))
+    return per.join(total, by).select(by, verdict, "n", (F.col("n") / F.col("n_all")).alias("share"), (F.col("n_located") / F.col("n_all")).alias("located"))
+
+
+def screened(rows: DataFrame, paper: str, hit: Column, least: int = 2, keep: int | None = None) -> DataFrame:
+    """Papers with ``least`` hits or more, by name; at most ``keep`` of them, the first by name. Never the ones with the most hits: rates
+    measured on those would be rates of papers chosen for them."""
+    passed = rows.groupBy(paper).agg(F.count_if(hit).alias("n_hits")).filter(F.col("n_hits") >= least)
+    return passed.orderBy(paper).limit(keep) if keep else passed
+
+
+def review_order(per_rule: DataFrame, fired: str, rule: str) -> DataFrame:
+    """Rules as a reviewer takes them: the one that fired most first, then by name."""
+    return per_rule.withColumn("place", F.row_number().over(Window.orderBy(F.col(fired).desc(), rule)))  # a row for each rule
+
+
+def unanswered(questions: DataFrame, by: str, state: str) -> DataFrame:
+    """What a model left open, as abstentions: by, what. States are answered, unanswered, unverified (its quote isn't there) and over-budget."""
+    words = {"unanswered": "questions without an answer", "unverified": "answers whose quote isn't in the text", "over-budget": "questions beyond the budget"}
+    said = F.create_map(*[F.lit(x) for p in words.items() for x in p])
+    return questions.filter(F.col(state).isin(*words)).groupBy(by, state).agg(F.count("*").alias("n")).select(by, F.concat(F.col("n").cast("string"), F.lit(" "), said[F.col(state)]).alias("what"))

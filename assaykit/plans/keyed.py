@@ -109,8 +109,11 @@ def q15_point_in_interval(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     halves = events.filter("event_type = 'purchase'").select("user_id", day.alias("start")).distinct()
-    halves = halves.select("user_id", "start", (F.col("start") + F.expr("INTERVAL 12 HOURS")).alias("stop"), F.col("start").alias("section"))
-    return intervals.point_in_interval(events.select("event_id", "user_id", "ts"), halves, ["user_id"], "ts", "start", "stop", "section")
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    day_at = seconds(F.col("start"))
+    halves = halves.select("user_id", day_at.alias("from"), (day_at + 43_200).alias("to"), F.col("start").alias("section"))
+    points = events.select("event_id", "user_id", "ts", seconds(F.col("ts")).alias("at"))
+    return intervals.point_in_interval(points, halves, ["user_id"], "at", "from", "to", "section", 43_200).drop("at")
 
 
 @query("""
@@ -151,8 +154,8 @@ WITH u AS (SELECT user_id, count(DISTINCT event_type) AS n_types, count(*) AS n,
 SELECT user_id, n_types, n FROM u WHERE n_types <= 5 AND NOT varies
 """)
 def q32_seed_single_literal(spark: SparkSession, d: str) -> DataFrame:
-    users = table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n_types"), F.count("*").alias("n"), F.bool_or(F.col("value") > 200).alias("varies"))
-    return users.filter("n_types <= 5 AND NOT varies").drop("varies")
+    users = keys.single_literal(table(spark, d, "events"), "user_id", "event_type", F.col("value") > 200, 5)
+    return users.select("user_id", F.col("n_values").alias("n_types"), "n")
 
 
 @query("""
@@ -161,9 +164,9 @@ WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROU
 """)
 def q33_unpinned_share(spark: SparkSession, d: str) -> DataFrame:
     locked = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    share = F.count_if(F.col("l_discount") <= 0.05) / F.count("*")
-    per = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") == 0).alias("n_unpinned"), share.alias("raw"))
-    return per.filter("raw >= 0.5").join(locked, "l_suppkey", "left_anti").select("l_suppkey", "n", "n_unpinned", F.round("raw", 6).alias("share"))
+    lines = table(spark, d, "lineitem").join(locked, "l_suppkey", "left_anti")
+    none = lines.groupBy("l_suppkey").agg(F.count_if(F.col("l_discount") == 0).alias("n_unpinned"))
+    return keys.share_of(lines, "l_suppkey", F.col("l_discount") <= 0.05, 0.5, "l_linenumber").join(none, "l_suppkey").select("l_suppkey", "n", "n_unpinned", F.round("share", 6).alias("share"))
 
 
 @query("""
