@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # Words that carry nothing in a title, or in a claim.
 TITLE_STOP = ("a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "with")
-TERM_STOP = ("and", "are", "but", "can", "for", "from", "has", "have", "its", "not", "that", "the", "their", "this", "was", "were", "which", "with")
+TERM_STOP = tuple("""
+the and for that this with from are was were has have had not but its
+can may our their they these those such than then when where which while
+all any been both each into more most other some only also over under
+between during within without because however therefore thus been being
+use used using shown show shows given give gives well very much many
+""".split())
 # Parts of names that aren't surnames.
 PARTICLES = ("van", "von", "de", "del", "della", "der", "den", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "jr", "sr", "ii", "iii")
 # Letters and what they fold to; the rest of the accents are removed one by one.
@@ -106,8 +112,8 @@ def canonical(name: Column) -> Column:
 
 
 def terms(x: Column) -> Column:
-    """Distinct content words of three letters or more, lower-case."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z][a-z-]{2,}"), 0)
+    """Distinct content words of three characters or more that begin with a letter, lower-case."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z][a-z0-9-]{2,}"), 0)
     return F.array_except(F.transform(found, lambda w: F.rtrim(w, F.lit("-"))), F.array(*map(F.lit, TERM_STOP)))
 
 
@@ -167,6 +173,24 @@ def arxiv_id(*fields: Column) -> Column:
     return F.coalesce(*found)
 
 
+def arxiv_id_of(fields: Column, known: Column | None = None) -> Column:
+    """The arXiv id of a bibliography entry (a map of its fields): what a record says, then its eprint, then any field that speaks of arXiv. Ids of both kinds."""
+    new, old = r"\b([0-9]{4}[.][0-9]{4,5})(?:v[0-9]+)?\b", r"\b([a-z][a-z-]{2,}(?:[.][A-Z]{2})?/[0-9]{7})(?:v[0-9]+)?\b"
+    of = lambda x: F.coalesce(*[F.nullif(F.regexp_extract(x, rx, 1), F.lit("")) for rx in (new, old)])
+    get = lambda k: F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit(""))
+    archive = F.lower(get("archiveprefix"))
+    own = F.when((archive == "") | F.contains(archive, F.lit("arxiv")), of(get("eprint")))
+    named = [F.when(F.contains(F.lower(get(k)), F.lit("arxiv")), of(get(k))) for k in ("url", "journal", "note", "howpublished", "doi")]
+    return F.coalesce(F.nullif(known, F.lit("")) if known is not None else F.lit(None).cast("string"), own, *named, F.lit(""))
+
+
+def pmcid_of(fields: Column, known: Column | None = None) -> Column:
+    """The PMCID of a bibliography entry: what a record says, then the first field that holds one."""
+    get = lambda k: F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit(""))
+    found = [F.nullif(F.upper(F.regexp_extract(get(k), r"(?i)\b(PMC[0-9]{4,})\b", 1)), F.lit("")) for k in ("pmcid", "url", "note", "eprint")]
+    return F.coalesce(F.nullif(known, F.lit("")) if known is not None else F.lit(None).cast("string"), *found, F.lit(""))
+
+
 def reason_code(message: Column) -> Column:
     """Why an input couldn't be read, by what its message says."""
     m = F.lower(message)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.operators.scale import written
 from assaykit.plans import engine
+from assaykit.plans.numeric import p_sql
 from assaykit.plans.registry import query, table
 from assaykit.sources import archives, papers, repositories, shared
 from assaykit.streaming import sweep
@@ -23,8 +25,8 @@ def _files(name: str, text: str, *files: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(a).alias(name), F.coalesce(b, F.lit("")).alias(text)) for a, b in files])
 
 
-def _read(rows: DataFrame, raw: Column, bib: Column | None = None) -> DataFrame:
-    return papers.read_papers(rows.select(F.col("l_partkey").alias("doc_id"), raw.alias("raw"), (F.lit(None).cast("string") if bib is None else bib).alias("bibliography")))
+def _read(rows: DataFrame, raw: Column, *slices: str, bib: Column | None = None) -> DataFrame:
+    return papers.read_papers(rows.select(F.col("l_partkey").alias("doc_id"), raw.alias("raw"), (F.lit(None).cast("string") if bib is None else bib).alias("bibliography")), slices or tuple(papers.SLICES))
 
 
 @query("""
@@ -36,7 +38,7 @@ def q60_tests_extracted(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     tail = F.when(k % 2 == 0, "in a one-tailed test").otherwise("in the usual test")
     raw = _cat("\\begin{document}It held ", tail, ", $t(", F.col("n"), ") = ", F.format_string("%.2f", (k % 500) / 100.0), "$, $p = .", F.lpad((k % 97).cast("string"), 3, "0"), "$. Then % no test here: t(1) = 2, p = .5\nthe whole was clear, $F(2, 30) = ", F.format_string("%.2f", (k % 700) / 100.0), "$, $p < .05$.\\end{document}")
-    return papers.rows_of(_read(_parts(spark, d), raw), "tests").select("doc_id", "kind", "statistic_raw", "df1", "comparator", "p_raw", "tail")
+    return papers.rows_of(_read(_parts(spark, d), raw, "tests"), "tests").select("doc_id", "kind", "statistic_raw", "df1", "comparator", "p_raw", "tail")
 
 
 @query("""
@@ -48,7 +50,7 @@ def q61_means_with_sizes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     mean = F.format_string("%.2f", k / 100.0)
     raw = F.when(k % 3 == 0, _cat("\\section{One}People (N = ", F.col("n"), ") were asked. They liked it (M = ", mean, "). \\section{Two}Nothing more.")).otherwise(_cat("\\section{One}They liked it (M = ", mean, ", N = ", F.col("n"), "). Later (N = 7) some left."))
-    read = _read(_parts(spark, d), raw)
+    read = _read(_parts(spark, d), raw, "means", "sizes")
     means, sizes = papers.rows_of(read, "means"), papers.rows_of(read, "sizes")
     own = sizes.groupBy("doc_id", "sentence").agg(F.count("*").alias("c0"), F.min("n").alias("n0"))
     near = sizes.groupBy("doc_id", "section").agg(F.count("*").alias("c1"), F.min("n").alias("n1"))
@@ -67,7 +69,7 @@ def q62_table_cells(spark: SparkSession, d: str) -> DataFrame:
     # the lines of one order, seven at most
     orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("l_partkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "").alias("body"))
     raw = _cat("\\begin{table}\\caption{Lines}\\begin{tabular}{lr} Line & Quantity \\\\ \\hline ", F.col("body"), "\\end{tabular}\\end{table}")
-    cells = papers.rows_of(_read(orders, raw), "cells").filter("row > 0")
+    cells = papers.rows_of(_read(orders, raw, "cells"), "cells").filter("row > 0")
     return cells.select("doc_id", "row", "col", "text", "number", "decimals")
 
 
@@ -78,7 +80,7 @@ def q63_bibtex_entries(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumnRenamed("p_partkey", "l_partkey")
     doi = F.when(F.col("p_size") % 2 == 0, _cat(", doi = {10.5/", F.col("l_partkey"), "}")).otherwise("")
     bib = _cat("@comment{x}\n@article{part", F.col("l_partkey"), ",\n title = {{\\'E}cole of {", F.col("p_name"), "}},\n year = ", 1950 + F.col("p_size"), ", title = {second}", doi, "}\n@broken{")
-    rows = papers.rows_of(_read(part, F.lit("\\begin{document}x\\end{document}"), bib), "bib")
+    rows = papers.rows_of(_read(part, F.lit("\\begin{document}x\\end{document}"), "bib", bib=bib), "bib")
     f = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
     return rows.select("doc_id", "key", "entry_type", f("title"), f("year"), f("doi"))
 
@@ -91,7 +93,7 @@ def q64_citation_uses(spark: SparkSession, d: str) -> DataFrame:
     key = _cat("k", F.col("p_size") % 5)
     again = F.when(F.col("p_size") % 2 == 1, _cat(" and again~\\citep[see][p.~3]{", key, "}")).otherwise("")
     raw = _cat("\\newcommand{\\mine}{\\cite{never}}\\begin{document}One~\\cite{", key, ", both}", again, ". % \\cite{hidden}\n\\end{document}")
-    return papers.rows_of(_read(part, raw), "citations").groupBy("doc_id", "key").agg(F.count("*").alias("n_uses"))
+    return papers.rows_of(_read(part, raw, "citations"), "citations").groupBy("doc_id", "key").agg(F.count("*").alias("n_uses"))
 
 
 @query("""
@@ -100,7 +102,7 @@ SELECT p_partkey AS doc_id, 'learning rate' AS label, '3e-' || (1 + p_size % 4)
 def q65_hyperparameters(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumnRenamed("p_partkey", "l_partkey")
     raw = _cat("\\begin{document}We use a learning rate of 3e-", 1 + F.col("p_size") % 4, " and the batch size was set to ", F.col("p_size"), " for ", F.col("p_size") * 2, " epochs.\\end{document}")
-    return papers.rows_of(_read(part, raw), "hyperparameters").select("doc_id", "label", "raw")
+    return papers.rows_of(_read(part, raw, "hyperparameters"), "hyperparameters").select("doc_id", "label", "raw")
 
 
 @query("""
@@ -146,15 +148,20 @@ def q69_root_document(spark: SparkSession, d: str) -> DataFrame:
     return archives.roots(part.select("path", F.explode(files).alias("f")).select("path", "f.*"))
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT l_partkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS k FROM lineitem GROUP BY 1), t AS (SELECT 20 AS df, 2.09::DOUBLE AS stat),
+b AS (SELECT {p_sql("(stat - 0.005)")} AS p_high, {p_sql("(stat + 0.005)")} AS p_low FROM t), q AS (SELECT *, (k % 97) / 1000.0 AS p FROM m, b),
+r AS (SELECT 'stats/pvalue-mismatch' AS rule, CASE WHEN NOT (p_low < 0.05 AND p_high >= 0.05) AND (p < 0.05) <> (p_high < 0.05) THEN 'high' ELSE 'med' END AS severity FROM q WHERE NOT (p_low <= p + 0.0005 AND p_high >= p - 0.0005)
+ UNION ALL SELECT 'stats/grim', 'med' FROM m WHERE n < 100 AND len(list_filter(list_transform(range(0, 4), lambda i: k * n // 100 - 1 + i), lambda s: abs(200 * s - 2 * k * n) < n OR 200 * s - 2 * k * n = -n OR (200 * s - 2 * k * n = n AND k % 2 = 0))) = 0
+ UNION ALL SELECT 'numbers/table-arithmetic', 'med' FROM m WHERE l_partkey % 3 = 2)
+SELECT rule, severity, count(*) AS n FROM r GROUP BY 1, 2
+""")
 def q70_engine_report(spark: SparkSession, d: str) -> DataFrame:
-    """All rules that can run, over a paper rendered for each part: a table whose total is off for some, a mean, a test. Rules' results are tested one by one."""
+    """All rules that can run, over a paper rendered for each part: a table whose total is off for some, a mean, a test."""
     k, n = F.col("k"), F.col("n")
     raw = _cat("\\begin{document}They liked it (M = ", F.format_string("%.2f", k / 100.0), ", N = ", n, "), $t(20) = 2.09$, $p = .", F.lpad((k % 97).cast("string"), 3, "0"), "$. \\begin{tabular}{lr} Part & Rows \\\\ One & ", k, " \\\\ Two & ", n, " \\\\ Total & ", k + n + F.col("l_partkey") % 3, " \\\\ \\end{tabular}\\end{document}")
     read = _read(_parts(spark, d), raw)
-    path = shared.scratch(spark, "papers")
-    read.write.parquet(path)
-    out = engine.run(engine.slices_of(spark.read.schema(read.schema).parquet(path)))
+    out = engine.run(engine.slices_of(written(read, "papers")))
     return out.findings.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 

@@ -22,6 +22,7 @@ JATS_SKIP = frozenset("table-wrap ref-list fn-group front-stub graphic inline-gr
 JATS_BLOCKS = frozenset(("p", "title", "sec", "abstract", "body", "article-title", "list-item", "caption"))
 
 _COMMAND = re.compile(r"\\([A-Za-z@]+\*?|.)", re.S)
+_SPECIAL = re.compile(r"[\\%~&{}$\s]")
 _TAG = re.compile(r"<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>|<!\[CDATA\[(?P<data>.*?)\]\]>|<(?P<close>/?)(?P<name>[A-Za-z_][\w.:-]*)(?P<attrs>[^<>]*?)(?P<empty>/?)>", re.S)
 
 
@@ -99,6 +100,11 @@ class _Writer:
             self.chars.append(c)
             self.at.append(at + k * step)
 
+    def run(self, s: str, at: int) -> None:
+        """Characters as they stand in the source from ``at`` on."""
+        self.chars.extend(s)
+        self.at.extend(range(at, at + len(s)))
+
     def space(self, at: int, c: str = " ") -> None:
         """White space collapses; a newline wins over a space."""
         if self.chars and self.chars[-1] in " \n":
@@ -148,7 +154,7 @@ def latex(raw: str) -> Plain:
                     after = group_end(raw, after, "[]" if raw[after] == "[" else "{}")
                     while raw[after : after + 1] in (" ", "\t"):
                         after += 1
-            elif name in DROP_ARG:
+            elif name in DROP_ARG or name.lower().startswith("cite"):
                 while raw[after : after + 1] in ("[", "{") and raw[after : after + 1]:
                     after = group_end(raw, after, "[]" if raw[after] == "[" else "{}")
             elif name in SYMBOLS:
@@ -169,10 +175,13 @@ def latex(raw: str) -> Plain:
         elif c in "~&":
             w.space(i)
             i += 1
-        else:
-            if c not in "{}$":
-                w.put(c, i)
+        elif c in "{}$":
             i += 1
+        else:
+            end = _SPECIAL.search(raw, i)
+            end = end.start() if end else len(raw)
+            w.run(raw[i:end], i)
+            i = end
     n = len(w.chars)
     sections = [Section(name, start, heads[k + 1][1] if k + 1 < len(heads) else n) for k, (name, start) in enumerate(heads)]
     return Plain(raw, "".join(w.chars), w.at, sections)
@@ -198,8 +207,10 @@ def jats(raw: str) -> Plain:
                 w.space(i)
                 i += 1
             else:
-                w.put(c, i)
-                i += 1
+                stop = re.compile(r"[&\s]").search(raw, i + 1, end)
+                stop = stop.start() if stop else end
+                w.run(raw[i:stop], i)
+                i = stop
 
     last = 0
     for m in _TAG.finditer(raw):
@@ -254,3 +265,25 @@ def is_bbl(text: str) -> bool:
 
 def read(raw: str) -> Plain:
     return jats(raw) if is_jats(raw) else latex(raw)
+
+
+def prose(raw: str) -> str:
+    """A text as paragraphs with blank lines between them, for retrieval: places don't matter here, paragraphs do. Blank lines part LaTeX, the p elements of
+    abstract and body part JATS; XML that can't be read gives nothing."""
+    if not is_jats(raw):
+        blocks = (" ".join(latex(block).text.split()) for block in re.split(r"\n[ \t]*\n", raw))
+        return "\n\n".join(b for b in blocks if b)
+    import xml.etree.ElementTree as tree
+
+    try:
+        root = tree.fromstring(raw)
+    except tree.ParseError:
+        return ""
+    paragraphs = (" ".join("".join(p.itertext()).split()) for tag in ("abstract", "body") for part in root.iter(tag) for p in part.iter("p"))
+    return "\n\n".join(p for p in paragraphs if p)
+
+
+def jats_title(raw: str) -> str:
+    """The first article title; empty if there is none."""
+    m = re.search(r"<article-title\b[^>]*>(.*?)</article-title>", raw, re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", m[1])).split()) if m else ""

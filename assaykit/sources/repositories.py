@@ -162,6 +162,23 @@ def entrypoints(files: DataFrame) -> DataFrame:
     return clean.join(known, ["repo_id", "target"], "left").select("repo_id", "target", F.coalesce("found_", F.lit(False)).alias("exists"))
 
 
+# Owners whose repositories are tools that papers link, not their own code; endings of names that are no repository.
+TOOL_OWNERS = ("pytorch", "tensorflow", "huggingface", "scikit-learn", "numpy", "scipy", "pandas", "matplotlib", "openai", "google", "google-research", "facebookresearch", "microsoft", "nvidia", "apache", "python", "jupyter", "conda-forge", "pypa", "actions", "docker")
+NO_REPOSITORY = (".sty", ".cls", ".bib", ".tex", ".png", ".pdf", ".svg")
+
+
+def own_repository(papers: DataFrame, doc: str = "doc_id", text: str = "raw") -> DataFrame:
+    """doc, url, slug: the first repository that a paper links and that may be its own code, one for each paper."""
+    found = F.regexp_extract_all(text, F.lit(r"(?:github|gitlab)[.]com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+"), 0)
+    parts = papers.select(doc, F.posexplode(found).alias("k", "found")).select(doc, "k", F.split("found", "/").alias("p"))
+    name = F.regexp_replace(F.rtrim(F.col("p")[2], F.lit(".")), "(?i)[.]git$", "")
+    named = parts.select(doc, "k", F.col("p")[0].alias("host"), F.col("p")[1].alias("owner"), name.alias("name"))
+    ends = F.exists(F.array(*map(F.lit, NO_REPOSITORY)), lambda e: F.endswith(F.lower("name"), e))
+    own = named.filter(~F.lower("owner").isin(*TOOL_OWNERS) & ~ends & (F.col("name") != ""))
+    first = own.groupBy(doc).agg(F.min_by(F.struct("host", "owner", "name"), "k").alias("r"))
+    return first.select(doc, F.concat_ws("/", F.lit("https:/"), "r.host", "r.owner", "r.name").alias("url"), F.concat_ws("/", "r.owner", "r.name").alias("slug"))
+
+
 def links(files: DataFrame) -> DataFrame:
     """repo_id, link, kind of the addresses in documents."""
     docs = files.filter(F.lower("path").rlike(r"\.(md|txt|rst)$"))
