@@ -68,7 +68,7 @@ def q16_interval_join_claims(spark: SparkSession, d: str) -> DataFrame:
     # a word's place: the lengths of all that was split off before it, each with one separator character kept in the word's piece
     words = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "(?<=[^a-z])")).alias("k", "word")).withColumn("n", F.length("word"))
     placed = intervals.running_starts(words, "doc_id", "k", "n").select("doc_id", F.regexp_extract("word", "^[a-z]+", 0).alias("key"), F.col("start").alias("at")).filter(F.col("key").isin(*KEYWORDS))
-    hits = placed.join(own.select(F.col("doc_id").alias("d_"), "ordinal", F.col("start").alias("s_"), "stop"), (F.col("doc_id") == F.col("d_")) & (F.col("at") >= F.col("s_")) & (F.col("at") < F.col("stop")))
+    hits = intervals.points_inside(placed, own.select("doc_id", "ordinal", F.col("start").alias("s_"), "stop"), ["doc_id"], "at", "s_", "stop", 256)
     keys = hits.groupBy("doc_id", "ordinal", F.col("s_").alias("start")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     return keys.filter(F.size("keys") >= 2)
 
@@ -86,23 +86,13 @@ SELECT q.item_id, CASE WHEN length(quote) < 12 THEN 'too-short' WHEN n IS NULL T
        CASE WHEN n = 1 THEN doc_id END AS doc_id, CASE WHEN n = 1 THEN at_ END AS start FROM q LEFT JOIN a USING (item_id)
 """)
 def q20_quote_locate(spark: SparkSession, d: str) -> DataFrame:
-    """Where each quote stands in the corpus, white space aside: exactly once, or not at all. A pair of words of each quote
-    finds the documents to look in, so quotes aren't compared with every text."""
+    """Where each quote stands in the corpus, white space aside: exactly once, or not at all. The quotes are the stated query set:
+    each text is read through once, by one automaton for all of them."""
     clean = lambda c: F.regexp_replace(c, r"[ \t\r\n]+", " ")
     quotes = table(spark, d, "benchmark").select("item_id", clean(F.trim("text")).alias("quote"))
     quotes = quotes.union(spark.createDataFrame([(1000000, "short one"), (1000001, "MIT License.")], "item_id long, quote string"))
     docs = table(spark, d, "documents").select("doc_id", clean(F.col("text")).alias("text"))
-    # The second and third of four words or more stand whole in any text that holds the quote; shorter quotes look everywhere.
-    words = F.split("quote", " ")
-    long = quotes.filter((F.length("quote") >= 12) & (F.size(words) >= 4)).withColumn("seed", F.array_join(F.slice(words, 2, 2), " "))
-    short = quotes.filter((F.length("quote") >= 12) & (F.size(words) < 4))
-    own = F.split("text", " ")
-    pairs = F.zip_with(own, F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    seeds = docs.select("doc_id", F.explode(F.array_distinct(F.array_compact(pairs))).alias("seed"))
-    cand = seeds.join(long.select("item_id", "seed"), "seed").select("doc_id", "item_id").distinct()
-    both = cand.join(docs, "doc_id").join(long.drop("seed"), "item_id").filter(F.contains("text", F.col("quote"))).select("item_id", "doc_id", "text", "quote")
-    both = both.union(docs.join(F.broadcast(short), F.contains("text", F.col("quote"))).select("item_id", "doc_id", "text", "quote"))
-    hits = both.select("item_id", "doc_id", retrieval.occurrences(F.col("text"), F.col("quote")).alias("n"), (F.instr("text", F.col("quote")) - 1).alias("at"))
+    hits = retrieval.quote_hits(docs, quotes.filter(F.length("quote") >= 12), "doc_id", "item_id")
     per = hits.groupBy("item_id").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc"), F.min_by("at", "doc_id").alias("at"))
     out = quotes.join(per, "item_id", "left")
     verdict = F.when(F.length("quote") < 12, "too-short").when(F.col("n").isNull(), "absent").when(F.col("n") > 1, "ambiguous").otherwise("located")
@@ -118,7 +108,7 @@ x AS (SELECT doc_id, item_id, len(list_intersect(a.t, b.t)) AS n_shared, len(a.t
 """
 
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
+def titles(spark: SparkSession, d: str) -> DataFrame:
     first = tx.title_tokens(F.substring_index("text", "\n", 1))
     docs = table(spark, d, "documents").select("doc_id", first.alias("tokens"))
     items = table(spark, d, "benchmark").select("item_id", tx.title_tokens(F.col("text")).alias("tokens"))
@@ -131,13 +121,13 @@ SELECT doc_id, item_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (
 """)
 def q21_title_jaccard_best(spark: SparkSession, d: str) -> DataFrame:
     score = F.col("n_shared") / (F.col("n_left") + F.col("n_right") - F.col("n_shared"))
-    return retrieval.best_match(_titles(spark, d).withColumn("score", score), "doc_id", "score", "item_id", 0.1).select("doc_id", "item_id", F.round("score", 6).alias("score"))
+    return retrieval.best_match(titles(spark, d).withColumn("score", score), "doc_id", "score", "item_id", 0.1).select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {TITLES_SQL} SELECT doc_id, item_id, round(n_shared / least(na, nb)::DOUBLE, 6) AS score FROM x WHERE n_shared > 0 AND n_shared / least(na, nb)::DOUBLE >= 0.25")
 def q22_title_overlap_coeff(spark: SparkSession, d: str) -> DataFrame:
     score = F.col("n_shared") / F.least("n_left", "n_right")
-    return _titles(spark, d).withColumn("raw", score).filter("raw >= 0.25").select("doc_id", "item_id", F.round("raw", 6).alias("score"))
+    return titles(spark, d).withColumn("raw", score).filter("raw >= 0.25").select("doc_id", "item_id", F.round("raw", 6).alias("score"))
 
 
 @query(f"""
@@ -147,7 +137,7 @@ SELECT CASE WHEN o < 0.35 THEN 'high' WHEN o < 0.55 THEN 'med' ELSE 'none' END A
 def q24_mismatch_bands(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("n_shared") / F.least("n_left", "n_right")
     band = F.when(o < 0.35, "high").when(o < 0.55, "med").otherwise("none")
-    return _titles(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return titles(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query("""
@@ -165,7 +155,7 @@ def q23_surname_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 # A claim's terms.
 CLAIM = ("license", "version", "nicht", "that", "elle", "with", "erhe", "onthe", "aber", "para", "inor", "wher")
-_TERMS = f"list_filter(list_distinct(list_transform(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z][a-z-]{{{{2,}}}}'), lambda w: rtrim(w, '-'))), lambda w: NOT list_contains({list(tx.TERM_STOP)}, w))"
+_TERMS = f"list_filter(list_distinct(list_transform(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z][a-z0-9-]{{{{2,}}}}'), lambda w: rtrim(w, '-'))), lambda w: NOT list_contains({list(tx.TERM_STOP)}, w))"
 
 
 @query(f"""
