@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaykit.plans import corpus, documents, extraction, keyed, numeric, report  # noqa: F401  they register
+from assaykit.plans import corpus, documents, extraction, keyed, numeric, report, tools, verdicts  # noqa: F401  they register
 from assaykit.plans.registry import QUERIES, SQL, Query
 
 

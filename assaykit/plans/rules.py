@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from assaykit.functions import exact, special
 from assaykit.functions import text as tx
-from assaykit.operators import keys, retrieval
+from assaykit.operators import intervals, keys, retrieval
 from assaykit.operators.findings import finding
 
 ALPHA = 0.05
@@ -70,15 +70,15 @@ def _abstain(rows: DataFrame, id: str, what: Column) -> DataFrame:
 def internal_mismatch(s: Slices) -> Found:
     heads = s["cells"].filter("row = 0 AND NOT irregular").select("doc_id", "table", "name", "col", F.rtrim(F.lower(F.trim("text")), F.lit(":")).alias("label"))
     body = s["cells"].filter("row > 0 AND number IS NOT NULL AND NOT irregular").select("doc_id", "table", "col", F.col("number").alias("cell"), F.col("start").alias("cell_at"))
-    columns = heads.join(body, ["doc_id", "table", "col"]).groupBy("doc_id", "label", "table", "name", "col").agg(F.collect_list(F.struct("cell", "cell_at")).alias("cells"))
-    few = columns.filter(F.size(F.array_distinct("cells.cell")) <= 12)
-    both = s["numbers"].join(few, ["doc_id", "label"]).withColumn("value", F.col("raw").try_cast("double")).filter(~F.array_contains("cells.cell", F.col("value")))
-    near = F.array_min(F.transform("cells", lambda c: F.struct(F.abs(c["cell"] - F.col("value")).alias("d"), c["cell_at"].alias("a"), c["cell"].alias("c"))))
-    hit = both.withColumn("near", near).filter((exact.relative_gap(F.col("value"), F.col("near.c")) <= 0.02) & (F.col("near.d") > 0))
+    # one column of one table at a time; a document's tables of one heading are its keys
+    cells = heads.join(body, ["doc_id", "table", "col"])
+    stated = s["numbers"].withColumn("value", F.col("raw").try_cast("double")).join(heads.select("doc_id", "label", "table", "col", "name").distinct(), ["doc_id", "label"])
+    hit = intervals.near_misses(stated, cells, ["doc_id", "label", "table", "col"], "value", "cell", place="cell_at")
     first = hit.withColumn("k_", F.row_number().over(Window.partitionBy("doc_id", "start").orderBy("table", "col"))).filter("k_ = 1")
-    return _find(first, "numbers/internal-mismatch", _s("the text reports ", "label", " of ", "raw", ", but ", "name", " reports ", "near.c", " for the same quantity"), F.array(_at("paper"), _at("paper", "near.a"))), None
+    return _find(first, "numbers/internal-mismatch", _s("the text reports ", "label", " of ", "raw", ", but ", "name", " reports ", "nearest", " for the same quantity"), F.array(_at("paper"), _at("paper", "nearest_place"))), None
 
 
+# Labels of rows that hold totals, and headings of shares of a whole.
 _TOTALS = ("total", "sum", "overall", "all", "combined", "aggregate")
 _PERCENT = ("%", "percent", "percentage", "share", "proportion")
 
@@ -106,20 +106,15 @@ def grim(s: Slices) -> Found:
     level = lambda df: df.withColumns({"by_sentence": F.concat_ws("/", "doc_id", "sentence"), "by_section": F.concat_ws("/", "doc_id", "section")})
     levels = ["by_sentence", "by_section", "doc_id"]
     facts = level(s["sizes"]).select(*levels, F.struct("n", F.col("start").alias("n_at")).alias("v"))
-    ranked = level(s["means"])
-    out = ranked
-    for i, name in enumerate(levels):
-        out = out.join(facts.groupBy(name).agg(F.count("*").alias(f"c{i}"), F.min("v").alias(f"v{i}")), name, "left").fillna(0, [f"c{i}"])
-    pick = F.when(F.col("c0") == 1, F.col("v0")).when((F.col("c0") == 0) & (F.col("c1") == 1), F.col("v1")).when((F.col("c0") + F.col("c1") == 0) & (F.col("c2") == 1), F.col("v2"))
+    out = keys.exactly_one_ladder(level(s["means"]), facts, levels, "v").withColumnRenamed("resolved", "size")
     d = tx.decimals(F.col("raw"))
-    rows = out.withColumns({"size": pick, "d": d, "m": F.replace(tx.decimal_text(F.col("raw")), F.lit("."), F.lit("")).cast("long")})
+    rows = out.withColumns({"d": d, "m": F.replace(tx.decimal_text(F.col("raw")), F.lit("."), F.lit("")).cast("long")})
     known = rows.filter("size IS NOT NULL").withColumn("g", F.col("size.n") * F.col("items"))
     args = (F.col("m"), F.col("d"), F.col("g"))
     bad = known.withColumns({"verdict": exact.grim_verdict(*args), "near": exact.grim_nearest(*args)}).filter("verdict = 'inconsistent'")
     shown = F.array_join(F.transform("near", lambda v: F.format_string("%s", (v / F.pow(F.lit(10.0), F.col("d"))).cast("string"))), ", ")
     found = _find(bad, "stats/grim", _s("mean ", "raw", " is not attainable from N=", "size.n", " whole responses; nearest: ", shown), F.array(_at("paper"), _at("paper", "size.n_at")), F.when(F.col("items_inferred"), "med").otherwise("high"))
-    several = F.when(F.col("c0") > 1, F.col("c0")).when(F.col("c1") > 1, F.col("c1")).otherwise(F.col("c2"))
-    return found, _abstain(rows.filter("size IS NULL"), "stats/grim", F.when(several > 1, _s("", several, " sample sizes for one mean")).otherwise("no sample size for a mean"))
+    return found, _abstain(rows.filter("size IS NULL"), "stats/grim", F.when(F.col("n_found") > 1, _s("", "n_found", " sample sizes for one mean")).otherwise("no sample size for a mean"))
 
 
 @rule("stats/pvalue-mismatch", "med", "tests", "Tests reported without degrees of freedom, and corrections that the text doesn't state.")
@@ -138,14 +133,58 @@ def pvalue_mismatch(s: Slices) -> Found:
     return out, _abstain(t.filter("computed IS NULL"), "stats/pvalue-mismatch", _s("cannot recompute p for ", "kind", ""))
 
 
-_CLAIM = r"(?i)\b(statistically\s+significant|significantly\s+(?:better|worse|higher|lower|outperform\w*|improv\w*|reduc\w*|increas\w*|decreas\w*)|significant\s+(?:difference|improvement|effect|increase|decrease|gain)|reliably\s+(?:better|outperform\w*|improv\w*))\b"
-_SUPPORT = r"(?i)(?<![A-Za-z])p\s*[<>=]\s*\.?\d|(?<![A-Za-z])[tF]\s*\(\s*\d|chi\s*\^?\s*2|confidence\s+interval|\bCI\b|standard\s+(?:error|deviation)|(?<![A-Za-z])S(?:D|EM)\b|\bstd\b|±|\+/-|bootstrap|permutation\s+test|wilcoxon|mann[- ]whitney|t-test|anova|error\s+bars?|significance\s+test"
+# Words that claim a reliable difference: a first word and those that may follow it, a star for any ending.
+CLAIMS = {
+    "statistically": "significant",
+    "significantly": "better worse higher lower outperform* improv* reduc* increas* decreas*",
+    "significant": "difference improvement effect increase decrease gain",
+    "reliably": "better outperform* improv*",
+}
+# What supports a claim wherever it stands: parts of words, words of their own, and symbols by what follows them before a digit.
+SUPPORT_PARTS = ("confidence interval", "standard error", "standard deviation", "±", "+/-", "bootstrap", "permutation test", "wilcoxon", "mann-whitney", "mann whitney", "t-test", "anova", "error bar", "significance test")
+SUPPORT_WORDS = ("ci", "std", "sd", "sem")
+SUPPORT_SYMBOLS = (("p", "<>="), ("t", "("), ("f", "("))
+
+
+def claims_of(text: Column) -> Column:
+    """The claims of a text, each as its two words, lower-case, in order."""
+    words = F.split(F.lower(text), r"\s+")
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    ends, begins = lambda w: F.regexp_extract(w, r"([a-z0-9_]+)$", 1), lambda w: F.regexp_extract(w, r"^([a-z0-9_]+)", 1)
+
+    def claimed(pair: Column) -> Column:
+        out = F.lit(False)
+        for first, seconds in CLAIMS.items():
+            stems = [x[:-1] for x in seconds.split() if x.endswith("*")]
+            whole = [x for x in seconds.split() if not x.endswith("*")]
+            follows = pair["b"].isin(*whole) if whole else F.lit(False)
+            for stem in stems:
+                follows = follows | F.startswith(pair["b"], F.lit(stem))
+            out = out | ((pair["a"] == first) & follows)
+        return out
+
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), after, lambda x, y: F.struct(ends(x).alias("a"), begins(y).alias("b")))
+    return F.transform(F.filter(pairs, claimed), lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
+
+
+def supported(text: Column) -> Column:
+    """Whether a text holds any statistical support: a word for it, or a symbol of a test with a number behind it."""
+    flat = F.regexp_replace(F.lower(text), r"\s+", " ")
+    out = F.contains(F.regexp_replace(flat, r"[ ^]", ""), F.lit("chi2"))
+    for part in SUPPORT_PARTS:
+        out = out | F.contains(flat, F.lit(part))
+    for word in SUPPORT_WORDS:
+        out = out | flat.rlike(rf"(?<![a-z]){word}(?![a-z0-9_])")
+    for symbol, signs in SUPPORT_SYMBOLS:
+        out = out | flat.rlike(rf"(?<![a-z]){symbol} ?[{signs}] ?[.]?[0-9]")
+    return out
 
 
 @rule("stats/significance-unsupported", "med", "text", "Support given in an appendix or supplement that isn't part of the text.")
 def significance_unsupported(s: Slices) -> Found:
-    rows = s["text"].filter(~F.col("text").rlike(_SUPPORT)).withColumn("claims", F.regexp_extract_all("text", F.lit(_CLAIM), 1)).filter(F.size("claims") > 0)
-    spots = F.transform(F.slice("claims", 1, 3), lambda c: F.concat(F.lit("text@"), F.instr("text", c).cast("string")))
+    rows = s["text"].withColumn("claims", claims_of(F.col("text"))).filter((F.size("claims") > 0) & ~supported(F.col("text")))
+    low = F.regexp_replace(F.lower("text"), r"\s", " ")
+    spots = F.transform(F.slice("claims", 1, 3), lambda c: F.concat(F.lit("text@"), F.instr(low, c).cast("string")))
     return _find(rows, "stats/significance-unsupported", _s("", F.size("claims"), " claims of significance, the first '", F.element_at("claims", 1), "', and no test anywhere"), spots, F.when(F.size("claims") > 2, "high").otherwise("med"), F.lit("the text")), None
 
 
@@ -183,14 +222,11 @@ def metadata_drift(s: Slices) -> Found:
 
 @rule("bib/orphans", "low", "citations bib", "Citations made by a package of their own.")
 def orphans(s: Slices) -> Found:
-    cites, bib = s["citations"], s["bib"]
-    some = bib.select("doc_id").distinct()
-    missing = cites.join(some, "doc_id", "left_semi").join(bib.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
-    per = missing.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("start")), 1, 3).alias("places"))
-    out = _find(per, "bib/orphans", _s("'", "key", "' is cited ", "n", " times and has no entry"), F.transform("places", lambda p: F.concat(F.lit("paper@"), p.cast("string"))), F.lit("med"), F.lit("the bibliography"))
-    unused = bib.join(cites.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.array_join(F.slice(F.array_sort(F.collect_set("key")), 1, 8), ", ").alias("names"), F.bool_and(F.col("entry_type").isin("bibitem", "ref")).alias("formatted"))
-    wording = F.when(F.col("formatted"), " listed references are never cited: ").otherwise(" entries are never cited: ")
-    return out.unionByName(_find(unused, "bib/orphans", F.concat(F.col("n").cast("string"), wording, "names"), F.array(_at("bib")), None, F.lit("the citations"))), None
+    missing = keys.undefined_keys(s["citations"], s["bib"], "key", "start", within="doc_id")
+    out = _find(missing, "bib/orphans", _s("'", "key", "' is cited ", "n_uses", " times and has no entry"), F.transform("first_places", lambda p: F.concat(F.lit("paper@"), p.cast("string"))), F.lit("med"), F.lit("the bibliography"))
+    unused = keys.unused_entries(s["bib"], s["citations"], "key", "doc_id", F.col("entry_type").isin("bibitem", "ref"), within="doc_id", place="start")
+    wording = F.when(F.col("all_flagged"), " listed references are never cited: ").otherwise(" entries are never cited: ")
+    return out.unionByName(_find(unused, "bib/orphans", F.concat(F.col("n_unused").cast("string"), wording, F.array_join("first_keys", ", ")), F.array(_at("bib", "first_place")), None, F.lit("the citations"))), None
 
 
 @rule("bib/unindexed", "low", "bib resolutions", "Whether a work that no index holds exists.", opt_in=True)
@@ -213,17 +249,13 @@ def hparam_drift(s: Slices) -> Found:
     return out, _abstain(both.filter("conflict"), "repro/hparam-drift", _s("the code has several values of ", "name", ""))
 
 
-_RUNS = r"(?i)(?:aver\w+|mean|std\w*|standard deviation|error bars?|variance)[^.]{0,60}?(?:over|across|of)\s+(\d+|three|four|five|ten)\s*(?:random\s+|different\s+|independent\s+)?(?:seeds?|runs?|trials?|repetitions?)"
-
-
-@rule("repro/seed-claim", "high", "text seeds", "Seeds set by a launcher outside the repository.")
+@rule("repro/seed-claim", "high", "runs seeds", "Seeds set by a launcher outside the repository.")
 def seed_claim(s: Slices) -> Found:
-    word = F.lower(F.regexp_extract("text", _RUNS, 1))
-    n = F.when(word == "three", 3).when(word == "four", 4).when(word == "five", 5).when(word == "ten", 10).otherwise(word.try_cast("int"))
-    said = s["text"].withColumns({"n": n, "phrase": F.regexp_extract("text", _RUNS, 0)}).filter("n >= 2")
-    seeds = s["seeds"].groupBy("doc_id").agg(F.bool_or("varies").alias("varies"), F.count_distinct("argument").alias("literals"), F.min("argument").alias("seed"), F.min(F.struct("path", "start")).alias("where")).filter("NOT varies AND literals <= 1")
-    bad = said.join(seeds, "doc_id")
-    return _find(bad, "repro/seed-claim", _s("the paper reports ", "n", " runs, the code sets the seed to ", "seed", " only"), F.array(_at("text", F.instr("text", F.col("phrase"))), F.concat(F.col("where.path"), F.lit("@"), F.col("where.start").cast("string")))), None
+    said = s["runs"].groupBy("doc_id").agg(F.min_by("n", "start").alias("n_runs"), F.min("start").alias("said_at")).filter("n_runs >= 2")
+    fixed = keys.single_literal(s["seeds"], "doc_id", "argument", F.col("varies"))
+    where = s["seeds"].groupBy("doc_id").agg(F.min(F.struct("path", "start")).alias("where"))
+    bad = said.join(fixed, "doc_id").join(where, "doc_id")
+    return _find(bad, "repro/seed-claim", _s("the paper reports ", "n_runs", " runs, the code sets the seed to ", "first_value", " only"), F.array(_at("paper", "said_at"), F.concat(F.col("where.path"), F.lit("@"), F.col("where.start").cast("string")))), None
 
 
 @rule("repro/entrypoint-missing", "med", "entrypoints", "Commands that create the file they run.")
@@ -243,9 +275,8 @@ def ghost_repo(s: Slices) -> Found:
 @rule("repro/unpinned-deps", "low", "deps files", "Pins kept in an image or outside the repository.")
 def unpinned_deps(s: Slices) -> Found:
     locked = s["files"].filter(F.lower("path").rlike(r"(^|/)(poetry\.lock|pipfile\.lock|uv\.lock|conda-lock\.yml|environment\.lock|requirements\.lock)$")).select("doc_id").distinct()
-    per = s["deps"].join(locked, "doc_id", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("pinned")).alias("loose"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(~F.col("pinned"), F.col("name")))), 1, 5), ", ").alias("names"))
-    bad = per.filter(F.col("loose") / F.col("n") >= 0.5)
-    return _find(bad, "repro/unpinned-deps", _s("", "loose", " of ", "n", " dependencies have no exact version: ", "names", ""), F.array(F.lit("requirements.txt"), F.concat(F.lit("requirements:"), "names"))), None
+    bad = keys.share_of(s["deps"].join(locked, "doc_id", "left_anti"), "doc_id", ~F.col("pinned"), 0.5, "name").withColumn("names", F.array_join("first_names", ", "))
+    return _find(bad, "repro/unpinned-deps", _s("", "n_flagged", " of ", "n", " dependencies have no exact version: ", "names", ""), F.array(F.lit("requirements.txt"), F.concat(F.lit("requirements:"), "names"))), None
 
 
 # --- rules that rest on a model's answers. A quote must stand in the text exactly once, or the answer isn't used.
@@ -275,6 +306,7 @@ def citation_support(s: Slices) -> Found:
     return out, _abstain(held.filter("cited IS NULL"), "bib/citation-support", F.lit("cited works without a full text"))
 
 
+# Words of strength. The first that a sentence holds counts.
 _STRONG = ("significantly", "substantially", "dramatically", "considerably", "markedly", "vastly", "far better", "far outperform", "greatly", "clearly outperform", "by a wide margin", "by a large margin", "state of the art", "state-of-the-art")
 
 
@@ -288,6 +320,7 @@ def overreach(s: Slices) -> Found:
     return _find(bad, "claim/overreach", _s("'", "strong", "' rests on ", "ours", " against ", "base", ""), F.array(_at("text", "at"), _at("paper", "ours_at"), _at("paper", "base_at"))), None
 
 
+# Words of breadth.
 _BROAD = ("all", "any", "every", "always", "universal", "in general", "generally", "across domains", "across tasks", "broadly", "any domain", "real-world", "arbitrary", "wide range", "wide variety", "general-purpose", "robust to", "regardless", "everywhere", "never", "no matter")
 
 
