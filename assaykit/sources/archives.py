@@ -180,8 +180,29 @@ def splice(root: str, files: dict[str, str]) -> tuple[str, list[tuple[int, int,
     return "".join(out), regions
 
 
+def loose_bibliographies(loose: DataFrame) -> DataFrame:
+    """folder, bibliography: the single .bib beside loose papers, or else the single .bbl; where there are several, none is taken."""
+    kind = F.lower(F.regexp_extract("member", r"[.](bib|bbl)$", 1))
+    own = loose.withColumns({"kind_": kind, "folder": F.regexp_replace("path", "[^/]*$", "")}).filter("kind_ <> ''")
+    per = own.groupBy("folder", "kind_").agg(F.count("*").alias("n_"), F.min("text").alias("text_")).filter("n_ = 1")
+    return per.groupBy("folder").agg(F.min_by("text_", "kind_").alias("loose_bibliography"))
+
+
+def refused(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, path, status of what stands under a folder as a paper and can't be read: why is said for each."""
+    files = scan(spark, root).withColumn("status", status(F.col("content")))
+    wanted = F.lower("path").rlike("[.](tex|ltx|xml|nxml|pdf|zip|tar|tgz|gz|bz2)$")
+    bad = files.filter(wanted & ~F.col("status").isin("text", "archive")).select(F.col("path").alias("doc_id"), "path", "status")
+    inside = members(files.filter("status = 'archive'"))
+    broken = inside.filter("refused IS NOT NULL").select(F.col("path").alias("doc_id"), "path", F.col("refused").alias("status"))
+    held = inside.filter("refused IS NULL").select("path").distinct()
+    empty = files.filter("status = 'archive'").select("path").join(held, "path", "left_anti").join(broken.select("path"), "path", "left_anti").select(F.col("path").alias("doc_id"), "path", F.lit("no .tex in the archive").alias("status"))
+    return bad.unionByName(broken).unionByName(empty)
+
+
 def papers(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, raw, bibliography, regions of every paper under a folder; a paper's files are those of one archive, or one file."""
+    """doc_id, raw, bibliography, regions of every paper under a folder; a paper's files are those of one archive, or one file with the bibliography
+    beside it. What can't be read is in ``refused``."""
     files = scan(spark, root).withColumn("status", status(F.col("content")))
     loose = files.filter("status = 'text'").select("path", F.substring_index("path", "/", -1).alias("member"), F.col("content").cast("string").alias("text"))
     inside = members(files.filter("status = 'archive'")).filter("refused IS NULL").select("path", "member", "text")
@@ -201,4 +222,6 @@ def papers(spark: SparkSession, root: str) -> DataFrame:
     # the files of one archive, bounded by its guards
     grouped = picked.groupBy("path", "root").agg(F.collect_list("member").alias("names"), F.collect_list("text").alias("texts"))
     out = grouped.select("path", joined("root", "names", "texts").alias("j")).join(bibliographies(inside), "path", "left")
-    return out.select(F.col("path").alias("doc_id"), "j.raw", "bibliography", "j.regions")
+    beside = loose.filter(F.lower("member").rlike("[.](tex|ltx)$")).select("path", F.regexp_replace("path", "[^/]*$", "").alias("folder")).join(loose_bibliographies(loose), "folder")
+    out = out.join(beside.select("path", "loose_bibliography"), "path", "left")
+    return out.select(F.col("path").alias("doc_id"), "j.raw", F.coalesce("bibliography", "loose_bibliography").alias("bibliography"), "j.regions")
