@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,30 +223,33 @@ def pack(docs: DataFrame, params: PackingParams) -> DataFrame:
     rows = ranked(rows, "length", "bucket", ["u", "doc_id", "start", "ids_crc32"], "rank", "n_length")
 
     half = params.window // 2
-    place_schema = "array<struct<part: int, sequence_id: long, offset: long, tier: int, step_group: long>>"
-
-    def at(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The last entry of each length that begins at or before the rank; -1 if there is none."""
-        key = table[:, 0] << 45 | table[:, 1]
-        i = np.searchsorted(key, length << 45 | rank, "right") - 1
-        return np.where((i >= 0) & (table[:, 0][np.maximum(i, 0)] == length), i, -1) if len(table) else np.full(len(rank), -1)
-
-    @F.pandas_udf(place_schema)
-    def place(length: pd.Series, rank: pd.Series) -> pd.Series:
-        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        spots = {part: at(tables[part], n, r) for part in (WHOLE, HEAD, TAIL)}
-        out = []
-        for k in range(len(n)):
-            # the entry that begins last, of uncut and cut ones, is the one that holds this rank
-            begins = {part: int(tables[part][i[k], 1]) if i[k] >= 0 else -1 for part, i in spots.items()}
-            parts = (WHOLE,) if begins[WHOLE] > max(begins[HEAD], begins[TAIL]) else (HEAD, TAIL)
-            own = []
-            for part in parts:
-                _, rank0, seq0, offset, tier, place0 = tables[part][spots[part][k]].tolist()
-                move = int(r[k]) - rank0
-                own.append({"part": part, "sequence_id": seq0 + move, "offset": offset, "tier": tier, "step_group": (place0 + move) % n_steps})
-            out.append(own)
-        return pd.Series(out, dtype=object)
+    fields = ("part", "sequence_id", "offset", "tier", "step_group")
+    kinds = pa.struct([pa.field(k, pa.int64()) for k in fields])
+
+    def at(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last entry of each length that begins at or before the rank, and where it begins; -1 if there is none."""
+        if not len(table):
+            return np.zeros(len(rank), dtype=np.int64), np.full(len(rank), -1)
+        i = np.searchsorted(table[:, 0] << 45 | table[:, 1], length << 45 | rank, "right") - 1
+        i = np.maximum(i, 0)
+        return i, np.where((table[i, 0] == length) & (table[i, 1] <= rank), table[i, 1], -1)
+
+    @F.arrow_udf(f"array<struct<{', '.join(f'{k}: long' for k in fields)}>>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, r = (x.to_numpy(zero_copy_only=False) for x in (length, rank))
+        spots = [at(tables[part], n, r) for part in (WHOLE, HEAD, TAIL)]
+        # the entry that begins last, of uncut and cut ones, is the one that holds this rank
+        whole = spots[WHOLE][1] > np.maximum(spots[HEAD][1], spots[TAIL][1])
+        ends = np.cumsum(np.where(whole, 1, 2))
+        out = np.empty((int(ends[-1]) if len(ends) else 0, len(fields)), dtype=np.int64)
+        for part, (i, begins) in enumerate(spots):
+            own = np.flatnonzero(whole == (part == WHOLE))
+            to = ends[own] - (2 if part == HEAD else 1)
+            _, _, seq0, offset, tier, place0 = tables[part][i[own]].T if len(own) else np.empty((6, 0), dtype=np.int64)
+            move = r[own] - begins[own]
+            out[to] = np.stack([np.full(len(own), part), seq0 + move, offset, tier, (place0 + move) % n_steps], axis=1)
+        flat = pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(len(fields))], fields=list(kinds))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
 
     placed = rows.select("*", F.explode(place("length", "rank")).alias("p"))
     part = F.col("p.part")
@@ -259,6 +261,6 @@ def pack(docs: DataFrame, params: PackingParams) -> DataFrame:
         "doc_tokens",
         "p.sequence_id",
         "p.offset",
-        "p.tier",
-        "p.step_group",
+        F.col("p.tier").cast("int").alias("tier"),
+        F.col("p.step_group").cast("long").alias("step_group"),
     )
