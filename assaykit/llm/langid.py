@@ -6,36 +6,38 @@ whose encodings are smallest in sum is the answer. Chunks keep the dictionary at
 long text, which else would soon be encoded from its own beginning. Where the best and the second
 language are within ``reject_margin`` of one another, the answer is marked as rejected.
 
-Results for odd input: a null text, or one without a letter, is ``und`` with score 0 and is rejected.
+Results for odd input: a null text, or one without a letter (a numeral like a half isn't one), is ``und`` with score 0 and is rejected.
 Equal sizes go to the language that comes first by name, with score 0 (rejected). An empty table
 gives an empty result. With no labelled row to learn from, every text is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 RESULT = "lang_pred string, score double, rejected boolean, margin_bytes long"
 
 
 @dataclass(frozen=True)
 class LangIdParams:
     """dictionary_bytes and sample_rows bound what is learned from: the dictionary of a language is
-    the first dictionary_bytes of the normalised texts of at most sample_rows labelled rows, the rows with
-    the smallest hashes, of which each adds at most document_bytes."""
+    the first dictionary_bytes of the normalised texts of at most sample_rows distinct texts, those with
+    the smallest hashes, of which each adds at most document_bytes. Of more than max_languages values of lang, those with the most
+    distinct texts are learned; so all dictionaries together stay below max_languages * dictionary_bytes."""
 
     dictionary_bytes: int = 262_144
     sample_rows: int = 400
     document_bytes: int = 8_192
+    max_languages: int = 256
     level: int = 5
     chunk_bytes: int = 1_024
     reject_margin: float = 0.004
@@ -54,15 +56,17 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, params: LangIdParams = LangIdParams()) -> dict[str, bytes]:
     """Dictionary content of each language from rows (text, lang) of ``docs``.
 
-    The sample is bounded before any row moves: counts by language give a hash threshold that
-    leaves about four times sample_rows of each, and a per-language limit keeps the rest exact."""
+    The sample is bounded before any row moves: the number of distinct texts of a language, estimated from their hashes, gives a hash
+    threshold that leaves about four times sample_rows of each, and a per-language limit keeps the rest exact. Copies count once
+    throughout, so a language of many copies of few texts is learned as well."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(params.seed), "text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    distinct = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    counts = {r["lang"]: max(1, r["n"]) for r in distinct.orderBy(F.desc("n"), "lang").limit(params.max_languages).collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * params.sample_rows / n)))])
-    small = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share[F.col("lang")])
-    # Copies count once, and are merged before they move: a text of many copies doesn't fill a task.
+    small = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.try_element_at(share, F.col("lang")))
+    # Copies are merged before they move: a text of many copies doesn't fill a task.
     small = small.groupBy("lang", "h").agg(F.min(F.substring("text", 1, params.document_bytes)).alias("text"))
     first = Window.partitionBy("lang").orderBy("h", "text")
     sample = small.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= params.sample_rows).drop("k").collect()
