@@ -50,14 +50,18 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_the_rest_works_without_the_llm_subpackage(tmp_path):
+@pytest.mark.parametrize("gone", ["both", "pipeline", "llm"])
+def test_the_rest_works_without_the_llm_subpackage(tmp_path, gone):
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(f"{root}/assaykit", tmp_path / "assaykit", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    skipped = ["__pycache__"] + ["llm"] * (gone != "pipeline")
+    shutil.copytree(f"{root}/assaykit", tmp_path / "assaykit", ignore=shutil.ignore_patterns(*skipped))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'q01_findings_report' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
+    if gone == "llm":
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    code = f"import __spark_entry__ as e; q = e.queries(); assert 'q01_findings_report' in q and 'pipeline' not in q and any(k.startswith('op') for k in q) == {gone == 'pipeline'}; e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
