@@ -31,16 +31,24 @@ def walk(files: DataFrame) -> DataFrame:
 
 
 def read_yaml(text: str, binding: int) -> tuple[list[dict], list[str]]:
-    """Scalar leaves under dotted names by indentation; documents that need more of YAML aren't read."""
+    """Scalar leaves under dotted names by indentation, and what a ``defaults`` list composes, an entry each; documents that need more of YAML
+    aren't read."""
     if re.search(r"(^|\s)[&*][A-Za-z]|^---.*\S.*^---", text, re.M | re.S):
         return [], ["yaml: anchors or several documents"]
-    out, stack, at = [], [], 0
+    out, stack, at, composing = [], [], 0, -1
     for line in text.split("\n"):
         begin, at = at, at + len(line) + 1
+        item = re.match(r"^(\s*)- +([^#]*?)\s*(?:#.*)?$", line)
+        if item and 0 <= composing <= len(item[1]):
+            name = item[2].rpartition(":")[2].strip().strip("'\"")
+            if name and not name.startswith("_"):
+                out.append({"raw_name": "defaults", "value": name, "binding": binding, "origin": "defaults", "start": begin + item.start(2)})
+            continue
         m = re.match(r"^(\s*)([\w.-]+)\s*:\s*(.*?)\s*$", line.split(" #")[0])
         if line.lstrip().startswith(("#", "-")) or not m:
             continue
         depth = len(m[1])
+        composing = depth if m[2] == "defaults" and not m[3] else -1
         while stack and stack[-1][0] >= depth:
             stack.pop()
         value = m[3].strip("'\"")

@@ -314,3 +314,90 @@ def test_refused_inputs(spark, tmp_path):
     (tmp_path / "d.tex").write_bytes(b"\\documentclass{a}")
     got = {r["doc_id"].rsplit("/", 1)[-1]: r["status"] for r in archives.refused(spark, str(tmp_path)).collect()}
     assert set(got) == {"a.pdf", "b.tex", "c.zip"} and got["a.pdf"] == "pdf" and got["b.tex"] == "binary"
+
+
+def test_yaml_defaults():
+    got, _ = repositories.read_yaml("defaults:\n  - model: resnet # deep\n  - _self_\n  - 'db'\nlr: 3\nx:\n  - y\n", 30)
+    assert [(c["raw_name"], c["value"]) for c in got] == [("defaults", "resnet"), ("defaults", "db"), ("lr", "3")]
+
+
+@pytest.fixture(scope="module")
+def service():
+    """A service on this machine: an index, a model, a text, and one that is busy at first."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, code, body, **headers):
+            self.send_response(code)
+            for k, v in headers.items():
+                self.send_header(k.replace("_", "-"), v)
+            self.end_headers()
+            self.wfile.write(body if isinstance(body, bytes) else json.dumps(body).encode())
+
+        def do_GET(self):
+            seen.append(self.path)
+            if self.path == "/busy" and seen.count("/busy") < 3:
+                return self.reply(429, b"Please retry in 0.5s.")
+            if self.path.startswith("/eprint"):
+                return self.reply(200, b"\\documentclass{a}\\begin{document}One.\n\nTwo.\\end{document}")
+            if "gone" in self.path:
+                return self.reply(404, {})
+            if "broken" in self.path:
+                return self.reply(500, b"no")
+            self.reply(200, {"message": {"title": ["A Title"], "DOI": "10.1/x"}})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = asked["messages"][1]["content"]
+            said = "```json\n{\"verdict\": \"supported\"}\n```" if text == "claim" else "not JSON"
+            seen.append((asked["model"], self.headers.get("Authorization")))
+            self.reply(200, {"choices": [{"message": {"content": said}}]})
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_connectors(spark, service, tmp_path):
+    from assaykit.sources import connectors
+
+    at, seen = service
+    index = connectors.Index(at + "/works/{doi}", ("message",))
+    assert index.ask({"doi": "10.1/x y"})["DOI"] == "10.1/x" and seen[-1] == "/works/10.1%2Fx%20y" and index.ask({"doi": "gone"}) is None
+    chat = connectors.Chat(at, "m", "k")
+    assert chat.ask({"system": "s", "user": "claim"}) == {"verdict": "supported"} and chat.ask({"user": "x"}) is None and seen[-1] == ("m", "Bearer k")
+    text = connectors.FullText(eprints=at + "/eprint/{arxiv_id}")
+    assert text.ask({"arxiv_id": "1"}) == {"text": "One.\n\nTwo."} and text.ask({}) is None
+    waits = []
+
+    class Busy:
+        def ask(self, request):
+            return {"n": len(connectors.fetch(at + "/busy"))}
+
+    assert connectors.Patient(Busy(), sleep=waits.append).ask({})["n"] > 2 and waits == [1.0, 1.0]
+    now = [0.0]
+    spaced = connectors.Spaced(connectors.Remembered(index), 3.0, lambda: now[0], waits.append)
+    spaced.ask({"doi": "a"}), spaced.ask({"doi": "a"})
+    assert waits[-1] == 3.0
+    with pytest.raises(connectors.Stalled):
+        seen.clear()
+        connectors.Patient(Busy(), first=50, longest=90, stall=0.1, sleep=waits.append).ask({})
+    store = f"file://{tmp_path}/answers"
+    asked = lambda *dois: spark.createDataFrame([(d, d) for d in dois], "key string, doi string")
+    build = lambda: connectors.Index(at + "/works/{doi}", ("message",))
+    got = {r["key"]: r for r in connectors.answers(asked("a", "a", "gone", "broken"), "key", build, "index", store).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"a": "found", "gone": "not-found", "broken": "unknown"} and "HTTPError" in got["broken"]["error"]
+    before = len(seen)
+    again = connectors.answers(asked("a", "gone", "broken", "b"), "key", build, "index", store).collect()
+    assert {r["key"]: r["status"] for r in again} == {"a": "found", "gone": "not-found", "broken": "unknown", "b": "found"} and len(seen) == before + 2
+    offline = connectors.answers(asked("z"), "key", connectors.Nothing, "none").collect()
+    assert [r["status"] for r in offline] == ["unknown"]
+    record = spark.createDataFrame([(got["a"]["answer"],)], "j string").select(records.index_record("crossref", F.col("j")).alias("r")).first()["r"]
+    assert record["title"] == "A Title"
