@@ -99,3 +99,10 @@ def unanswered(questions: DataFrame, by: str, state: str) -> DataFrame:
     words = {"unanswered": "questions without an answer", "unverified": "answers whose quote isn't in the text", "over-budget": "questions beyond the budget"}
     said = F.create_map(*[F.lit(x) for p in words.items() for x in p])
     return questions.filter(F.col(state).isin(*words)).groupBy(by, state).agg(F.count("*").alias("n")).select(by, F.concat(F.col("n").cast("string"), F.lit(" "), said[F.col(state)]).alias("what"))
+
+
+def capped(rows: DataFrame, group: str, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` rows of each group, and group, n_left of the groups that have more: what a cap leaves out is said, not dropped."""
+    first = rows.withColumn("k_", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("k_") <= most).drop("k_")
+    left = rows.groupBy(group).agg((F.count("*") - most).alias("n_left")).filter("n_left > 0")
+    return first, left

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assaykit.functions.text import terms
 from assaykit.operators import findings as fd
 from assaykit.operators import retrieval
+from assaykit.operators.rates import capped
 from assaykit.operators.scale import written
 from assaykit.plans.rules import RULES, Rule, Slices
 from assaykit.sources import papers, repositories
@@ -122,9 +123,10 @@ def _unused_directives(covered: DataFrame, slices: Slices) -> DataFrame:
     return slices["directives"].select("doc_id", "rule", "line").join(hit, ["doc_id", "rule", "line"], "left_anti")
 
 
-def citation_questions(slices: Slices, k: int = 3) -> DataFrame:
+def citation_questions(slices: Slices, k: int = 3, most: int = 40) -> tuple[DataFrame, DataFrame]:
     """doc_id, key, claim, passages: what a model is asked about each claim that cites a work whose text is at hand: the k passages of the work that bear
-    most on the claim, by shared terms and numbers, in order. Its answers come back as the table ``answers``."""
+    most on the claim, by shared terms and numbers, in order. Its answers come back as the table ``answers``. Of a paper ``most`` questions are asked, the
+    first by key and claim; how many are left is the second table, as abstentions (rule, doc_id, what)."""
     from assaykit.functions.text import number_texts
     from assaykit.sources import papers as reader
 
@@ -137,7 +139,9 @@ def citation_questions(slices: Slices, k: int = 3) -> DataFrame:
     marked = texts.withColumns({"terms": terms(F.col("passage")), "numbers": number_texts(F.col("passage"))})
     both = asked.withColumns({"c_terms": terms(F.col("claim")), "c_numbers": number_texts(F.col("claim"))}).join(marked, ["doc_id", "key"])
     best = retrieval.passages_for(both, ["doc_id", "key", "claim"], "start", "terms", "c_terms", "numbers", "c_numbers", k)
-    return best.groupBy("doc_id", "key", "claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "passage"))), lambda x: x["passage"]).alias("passages"))
+    every = best.groupBy("doc_id", "key", "claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "passage"))), lambda x: x["passage"]).alias("passages"))
+    asked_now, left = capped(every, "doc_id", ["key", "claim"], most)
+    return asked_now, left.select(F.lit("bib/citation-support").alias("rule"), "doc_id", F.concat(F.col("n_left").cast("string"), F.lit(" questions beyond the budget")).alias("what"))
 
 
 def paper_records(slices: Slices, report: Report) -> DataFrame:

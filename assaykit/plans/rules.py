@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
+from pkgutil import walk_packages
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,15 @@ def rule(id: str, severity: str, requires: str, cannot_detect: str, tier: str =
     return register
 
 
+def discover(package: str) -> list[str]:
+    """Imports every module of a package, so that the rules they hold are registered; the ids of those that are new."""
+    before = set(RULES)
+    home = import_module(package)
+    for module in sorted(m.name for m in walk_packages(getattr(home, "__path__", []), f"{package}.")):
+        import_module(module)
+    return sorted(set(RULES) - before)
+
+
 def _s(*parts: str | Column) -> Column:
     """Words and columns in turn, the words first."""
     return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce((p if isinstance(p, Column) else F.col(p)).cast("string"), F.lit("?")) for i, p in enumerate(parts)])
@@ -294,16 +305,19 @@ def _get(name: str) -> Column:
     return F.coalesce(F.try_element_at("record", F.lit(name)), F.lit(""))
 
 
-@rule("bib/citation-support", "high", "claims cited_texts answers text", "Works whose full text isn't at hand.", tier="model")
+@rule("bib/citation-support", "high", "claims bib cited_texts answers text", "Works whose full text isn't at hand.", tier="model")
 def citation_support(s: Slices) -> Found:
     ask = s["claims"].select("doc_id", F.col("text").alias("claim"), F.col("start").alias("claim_at"), F.explode("keys").alias("key"))
-    held = ask.join(s["cited_texts"].select("doc_id", "key", F.col("text").alias("cited")), ["doc_id", "key"], "left")
+    entries = s["bib"].select("doc_id", "key").distinct()
+    stray = ask.join(entries, ["doc_id", "key"], "left_anti")
+    held = ask.join(entries, ["doc_id", "key"], "left_semi").join(s["cited_texts"].select("doc_id", "key", F.col("text").alias("cited")), ["doc_id", "key"], "left")
     said = s["answers"].filter("field = 'citation_verdict'").select("doc_id", _get("key").alias("key"), _get("claim").alias("claim"), _get("verdict").alias("verdict"), _get("quote").alias("quote"))
     both = held.filter("cited IS NOT NULL").join(said, ["doc_id", "key", "claim"])
     on_topic = F.arrays_overlap(tx.terms(F.col("quote")), tx.terms(F.col("claim")))
     bad = both.filter((F.col("verdict") == "contradicted") & on_topic & (retrieval.quote_verdict(F.col("cited"), F.col("quote")) == "located"))
     out = _find(bad, "bib/citation-support", _s("the claim at '", F.substring("claim", 1, 60), "' is contradicted by '", "key", "': '", F.substring("quote", 1, 60), "'"), F.array(_at("paper", "claim_at"), F.concat(F.lit("cited:"), "key")))
-    return out, _abstain(held.filter("cited IS NULL"), "bib/citation-support", F.lit("cited works without a full text"))
+    silent = _abstain(held.filter("cited IS NULL"), "bib/citation-support", F.lit("cited works without a full text"))
+    return out, silent.unionByName(_abstain(stray, "bib/citation-support", F.lit("cited works without an entry")))
 
 
 # Words of strength. The first that a sentence holds counts.

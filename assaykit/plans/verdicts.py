@@ -240,7 +240,7 @@ def q88_rule_citation_support(spark: SparkSession, d: str) -> DataFrame:
     said = {"key": "a", "claim": claim, "verdict": _case("contradicted", "contradicted", "supported", "contradicted", "contradicted"), "quote": F.when(k % 5 == 1, "recall on long documents doubled").when(k % 5 == 3, "The weather was fine on most").otherwise(quote)}
     claims = p.select("doc_id", F.lit(claim).alias("text"), F.lit(3).alias("start"), F.array(F.lit("a")).alias("keys"))
     texts = p.filter(k % 5 < 4).select("doc_id", F.lit("a").alias("key"), cited.alias("text"))
-    return _found("bib/citation-support", claims=claims, cited_texts=texts, answers=_answers(p, ("citation_verdict", said)), text=_text(p, "x"))
+    return _found("bib/citation-support", claims=claims, bib=p.select("doc_id", F.lit("a").alias("key")), cited_texts=texts, answers=_answers(p, ("citation_verdict", said)), text=_text(p, "x"))
 
 
 @query(f"WITH {_PARTS} SELECT doc_id, 'med' AS severity, '''substantially'' rests on ' || CAST((n + 1000 + k % 3 * 10)::DOUBLE AS VARCHAR) || ' against ' || CAST((n + 1000)::DOUBLE AS VARCHAR) AS message, 'text@6 paper@9 paper@8' AS anchors FROM p WHERE (k % 3 * 10) / (n + 1000)::DOUBLE < 0.01 AND k % 3 > 0")

@@ -153,7 +153,10 @@ def test_questions_hold_the_best_passages(spark):
     filler = "Plain words about something else entirely, said at some length so that a paragraph of it is long enough to be kept as one by the reader."
     body = "\n\n".join([filler, filler.replace("Plain", "Recall of documents, plain"), "The value reported for this setting is 94.2 and nothing else was measured in it, though the authors did try to for quite some time after that.", filler])
     slices = {"claims": spark.createDataFrame([("p", claim, ["a", "b"])], "doc_id string, text string, keys array<string>"), "cited_texts": spark.createDataFrame([("p", "a", body)], engine.EMPTY["cited_texts"])}
-    (r,) = engine.citation_questions(slices, 2).collect()
+    slices["claims"] = slices["claims"].union(spark.createDataFrame([("p", claim + " always", ["a"])], slices["claims"].schema))
+    asked, left = engine.citation_questions(slices, 2, 1)
+    (r,) = asked.collect()
+    assert [(x["doc_id"], x["what"]) for x in left.collect()] == [("p", "1 questions beyond the budget")]
     assert r["key"] == "a" and len(r["passages"]) == 2 and r["passages"][0].startswith("Recall of documents") and "94.2" in r["passages"][1]
 
 
@@ -401,3 +404,17 @@ def test_connectors(spark, service, tmp_path):
     assert [r["status"] for r in offline] == ["unknown"]
     record = spark.createDataFrame([(got["a"]["answer"],)], "j string").select(records.index_record("crossref", F.col("j")).alias("r")).first()["r"]
     assert record["title"] == "A Title"
+
+
+def test_rules_are_discovered(tmp_path, monkeypatch):
+    from assaykit.plans import rules
+
+    (tmp_path / "own_rules" / "more").mkdir(parents=True)
+    (tmp_path / "own_rules" / "__init__.py").write_text("")
+    (tmp_path / "own_rules" / "more" / "__init__.py").write_text("")
+    (tmp_path / "own_rules" / "more" / "one.py").write_text("from assaykit.plans.rules import rule\n@rule('mine/one', 'low', 'text', 'Most things.')\ndef one(s):\n    return s['text'].limit(0), None\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    try:
+        assert rules.discover("own_rules") == ["mine/one"] and rules.discover("own_rules") == []
+    finally:
+        rules.RULES.pop("mine/one", None)
