@@ -65,9 +65,10 @@ def q16_interval_join_claims(spark: SparkSession, d: str) -> DataFrame:
     """Sentences that hold two keywords or more. Places of words are found in the whole text and joined to the sentence they lie in."""
     docs = table(spark, d, "documents")
     own = sentences(docs)
-    # a word's place: the lengths of all that was split off before it, each with one separator character kept in the word's piece
-    words = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "(?<=[^a-z])")).alias("k", "word")).withColumn("n", F.length("word"))
-    placed = intervals.running_starts(words, "doc_id", "k", "n").select("doc_id", F.regexp_extract("word", "^[a-z]+", 0).alias("key"), F.col("start").alias("at")).filter(F.col("key").isin(*KEYWORDS))
+    # texts are cut before each keyword, so only as many pieces move as there are keywords; a keyword's place is what stands before its piece
+    word = f"(?:{'|'.join(KEYWORDS)})(?![a-z])"
+    pieces = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), f"(?<![a-z])(?={word})")).alias("k", "piece")).select("doc_id", "k", F.length("piece").alias("n"), F.regexp_extract("piece", f"^{word}", 0).alias("key"))
+    placed = intervals.running_starts(pieces, "doc_id", "k", "n").filter("key <> ''").select("doc_id", "key", F.col("start").alias("at"))
     hits = intervals.points_inside(placed, own.select("doc_id", "ordinal", F.col("start").alias("s_"), "stop"), ["doc_id"], "at", "s_", "stop", 256)
     keys = hits.groupBy("doc_id", "ordinal", F.col("s_").alias("start")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     return keys.filter(F.size("keys") >= 2)
