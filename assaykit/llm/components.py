@@ -2,7 +2,7 @@
 
 Each round every node hands its larger neighbours, then its smaller ones, to its smallest neighbour;
 after O(log^2 n) rounds each component is a star around its smallest node. Edges are written to the shared folder
-after each round, so lineage stays short and a lost executor costs one round at most. A hub's
+after each round, so lineage stays short and a lost executor costs one round at most; the round before is removed. A hub's
 rows are read through ``common.lookup`` and don't meet in one task.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import lookup, written
+from assaykit.llm.common import discard, lookup, written
 
 
 def _to_smallest(pairs: DataFrame, n_rows: int) -> DataFrame:
@@ -37,5 +37,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         small = _to_smallest(large, n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        now = written(small.filter("a <> b").distinct(), "edges")
+        before, now = now, written(small.filter("a <> b").distinct(), "edges")
+        discard(before)
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

@@ -7,7 +7,7 @@ first 31 bits, a perfect covering code: every word is within radius R = 1 of exa
 Two halves x, y with at most t = 2 differing bits have a midpoint within t/2 = 1 of both, and the anchor that
 covers the midpoint is within R + t/2 = 2 of both. So each half is replicated to every anchor within 2:
 its own and 15 others, 32 copies of a fingerprint in all, dealt over 2 * 2^26 anchors. Replication to
-R + t = 3 with one side kept at its own anchor would find the same pairs with ten times the copies.
+R + t = 3 (``radius``) finds the same pairs with about ten times the copies.
 
 Only distinct fingerprints are replicated, so copies cost nothing. Fingerprints that meet at an anchor are
 compared there, each with those not yet linked only: a linked fingerprint leaves the rest, so a dense group of near copies
@@ -15,14 +15,16 @@ costs about one pass for each link, not all its pairs. What leaves an anchor is
 have at most 33 neighbours; no pair is lost to the components, and none is emitted twice over.
 
 Odd input: a null text has no word, as an empty one; texts without words have fingerprint zero and link like any other.
-A text of fewer words than a shingle is one shingle. Equal rows are linked. A null doc_id counts as the largest id,
+A text of fewer words than a shingle is one shingle. Equal rows are linked. A null doc_id comes after all others,
 and is returned as component_id (null) only where no row of the component has an id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
+from operator import xor
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assaykit.llm.common import fresh, lookup, written
 from assaykit.llm.components import components
@@ -41,7 +42,7 @@ WORDS = 4
 SEED = 42
 _BLOCK = 1 << 15
 _FAN = 32
-_NO_ID = (1 << 63) - 1
+RADIUS = 2
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -79,25 +80,22 @@ def _syndromes(x: np.ndarray) -> np.ndarray:
     return s
 
 
-def _flip(position: int) -> int:
-    return 1 << (position - 1) if position else 0
-
-
-def _masks() -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome, what a word is XORed with to reach its anchors within 2, and which of the 16 columns hold one.
-    A word at distance 1 (syndrome s) is at distance 2 of the anchors reached by flipping two positions whose XOR is s."""
-    masks, used = np.zeros((32, 16), dtype=np.uint32), np.zeros((32, 16), dtype=bool)
-    for s in range(32):
-        own = [_flip(s)]
-        if s:
-            own += [_flip(j) ^ _flip(s ^ j) for j in range(1, 32) if j < s ^ j]
-        masks[s, : len(own)], used[s, : len(own)] = own, True
+def _masks(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome, what a word is XORed with to reach its anchors within ``radius``, and which columns hold one: flipping positions
+    whose numbers XOR to the syndrome gives a codeword."""
+    own: list[list[int]] = [[] for _ in range(32)]
+    for n in range(radius + 1):
+        for positions in combinations(range(1, 32), n):
+            own[reduce(xor, positions, 0)].append(sum(1 << (p - 1) for p in positions))
+    masks, used = np.zeros((32, max(map(len, own))), dtype=np.uint32), np.zeros((32, max(map(len, own))), dtype=bool)
+    for s, row in enumerate(own):
+        masks[s, : len(row)], used[s, : len(row)] = row, True
     return masks, used
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index into fps) of every copy: the anchor is the codeword, with the half's number in bit 32."""
-    masks, used = _masks()
+    masks, used = _masks(radius)
     keys, who = [], []
     for half in (0, 1):
         x = (fps >> np.uint64(32 * half)).astype(np.uint32) & np.uint32(0x7FFFFFFF)
@@ -132,11 +130,14 @@ def tree(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m[child], m[(child - 1) // _FAN]
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        key, who = anchors(fps)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[who].view(np.int64))], names=["anchor", "fp"])
+def _replicate(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            key, who = anchors(fps, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[who].view(np.int64))], names=["anchor", "fp"])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,47 +178,40 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(edges(held))
 
 
-def link_fingerprints(distinct: DataFrame) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between fingerprints (column fp, distinct) whose components are those of all links."""
-    copies = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    copies = distinct.select("fp").mapInArrow(_replicate(radius), "anchor long, fp long")
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long").distinct()
 
 
-def _identity(docs: DataFrame) -> tuple[Column, Column]:
-    """What tells the rows of ``docs`` apart: the id (nulls last) and a hash of the text."""
-    return F.coalesce(docs["doc_id"], F.lit(_NO_ID)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+def _identity(docs: DataFrame) -> Column:
+    """What tells the rows of ``docs`` apart, in their order: whether the id is null, the id, a hash of the text. No part is null."""
+    return F.struct(docs["doc_id"].isNull().alias("no_id"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, keep_id, keep_text of every row of ``docs`` (doc_id, text).
-    keep_id and keep_text are the identity of the one row of the component that stays."""
-    own_id, own_text = _identity(docs)
-    rows = docs.select("doc_id", own_id.alias("own_id"), own_text.alias("own_text"), fingerprints(docs["text"], words).alias("fp"))
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, keep of every row of ``docs`` (doc_id, text).
+    keep is the identity of the one row of the component that stays."""
+    rows = docs.select("doc_id", _identity(docs).alias("own"), fingerprints(docs["text"], words).alias("fp"))
     rows = written(rows, "fingerprints")
-    by_fp = written(rows.groupBy("fp").agg(F.min(F.struct("own_id", "own_text")).alias("first"), F.count("*").alias("n_copies")), "distinct")
+    by_fp = written(rows.groupBy("fp").agg(F.min("own").alias("first"), F.count("*").alias("n_copies")), "distinct")
     n, n_fps = rows.count(), by_fp.count()
-    roots = components(written(link_fingerprints(by_fp), "links"))
+    links = written(link_fingerprints(by_fp, radius), "links")
+    roots = components(links)
     rooted = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").select("fp", "first", "n_copies", F.coalesce("component", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("n_fps"))
     classes = lookup(rooted, "root", firsts, "keep", "n_fps", n_fps, F.col("fp")).select("fp", "keep", "n_copies")
-    out = lookup(rows, "fp", classes, "keep", "n_copies", n, F.col("own_id"))
-    return out.select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.nullif(F.col("keep.own_id"), F.lit(_NO_ID)).alias("component_id"),
-        F.col("keep.own_id").alias("keep_id"),
-        F.col("keep.own_text").alias("keep_text"),
-    )
+    out = lookup(rows, "fp", classes, "keep", "n_copies", n, F.col("own"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(~F.col("keep.no_id"), F.col("keep.id")).alias("component_id"), "keep")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with all its columns, one row of each component: the one with the smallest doc_id."""
-    keep_id, keep_text, row_id, row_text, turn = fresh(docs, "keep_id", "keep_text", "row_id", "row_text", "turn")
-    keepers = near_duplicates(docs, words).select(F.col("keep_id").alias(keep_id), F.col("keep_text").alias(keep_text)).distinct()
-    own_id, own_text = _identity(docs)
-    marked = docs.withColumns({row_id: own_id, row_text: own_text})
-    kept = marked.join(keepers, (F.col(row_id) == F.col(keep_id)) & (F.col(row_text) == F.col(keep_text)), "left_semi")
-    # repeated rows share id and text: one of them stays
-    one = F.row_number().over(Window.partitionBy(row_id, row_text).orderBy(row_id))
-    return kept.withColumn(turn, one).filter(F.col(turn) == 1).drop(row_id, row_text, turn)
+    keep, own, row = fresh(docs, "keep", "own", "row")
+    keepers = near_duplicates(docs, words).select(F.col("keep").alias(keep)).distinct()
+    kept = docs.withColumn(own, _identity(docs)).join(keepers, F.col(own) == F.col(keep), "left_semi")
+    # repeated rows share id and text: one of them stays. Each task merges its own before they move
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[c for c, (_, kind) in zip(every, docs.dtypes) if "map<" not in kind and kind != "variant"])
+    return kept.groupBy(own).agg(F.min_by(F.struct(*every), order).alias(row)).select(f"{row}.*")
