@@ -23,7 +23,6 @@ EMPTY = {
     "cited_texts": "doc_id string, key string, text string",
     "answers": "doc_id string, field string, record map<string,string>",
 }
-WAIVER = "seq int, rule string, reason string, match string, expires date"
 FINDING = "rule string, severity string, doc_id string, message string, anchors array<string>, absent_from string, fingerprint string"
 #: Rules that conclude from what a repository lacks; they say nothing of one that wasn't read whole.
 FROM_ABSENCE = ("repro/ghost-repo", "repro/entrypoint-missing", "claim/unimplemented")
@@ -78,8 +77,8 @@ def slices_of(read: DataFrame, repo_files: DataFrame | None = None, **lookups: D
 
 
 def run(slices: Slices, waivers: DataFrame | None = None, today: str = "1970-01-01", disabled: set[str] = frozenset(), enabled: set[str] = frozenset(), floor: str = "low") -> Report:
-    """All findings of the rules that can run, those below ``floor`` left out after waivers are applied; abstentions are never left out.
-    ``today`` is a parameter, so the same input gives the same report."""
+    """All findings of the rules that can run, those below ``floor`` left out after waivers are applied; abstentions are never left out. The rules run
+    now, their findings are written to the shared folder. ``today`` is a parameter, so the same input gives the same report."""
     spark: SparkSession = slices["text"].sparkSession
     rules, skipped = planned(set(slices), disabled, enabled)
     every, abst = spark.createDataFrame([], FINDING), spark.createDataFrame([], "rule string, doc_id string, what string")
@@ -96,11 +95,15 @@ def run(slices: Slices, waivers: DataFrame | None = None, today: str = "1970-01-
         if name in slices:
             counts = slices[name].groupBy("doc_id", "status").agg(F.count("*").alias("n"))
             abst = abst.unionByName(counts.select(F.lit(f"read/{where}").alias("rule"), "doc_id", F.concat(F.col("n").cast("string"), F.lit(" unread: "), F.col("status")).alias("what")))
-    given = waivers if waivers is not None else spark.createDataFrame([], WAIVER)
-    over = F.col("expires") < F.lit(today).cast("date")
-    live = given.filter(F.col("expires").isNull() | ~over)
-    out = fd.suppress(every, live)
-    notes = [given.filter(over).select(F.col("rule").alias("about"), F.lit("a waiver has run out").alias("what")), fd.unused_waivers(every, live).select(F.col("rule").alias("about"), F.lit("a waiver matched nothing").alias("what"))]
+    # waivers, directives and notes all go through the findings: the rules run once
+    every, notes = written(every, "findings"), [spark.createDataFrame([], "about string, what string")]
+    if waivers is None:
+        out = every.withColumn("suppressed_by", F.lit(None).cast("string"))
+    else:
+        over = F.col("expires") < F.lit(today).cast("date")
+        live = waivers.filter(F.col("expires").isNull() | ~over)
+        out = fd.suppress(every, live)
+        notes += [waivers.filter(over).select(F.col("rule").alias("about"), F.lit("a waiver has run out").alias("what")), fd.unused_waivers(every, live).select(F.col("rule").alias("about"), F.lit("a waiver matched nothing").alias("what"))]
     if "directives" in slices:
         covered = _directed(out, slices)
         notes.append(_unused_directives(covered, slices).select(F.concat_ws(" ", "rule", "doc_id").alias("about"), F.concat(F.lit("the directive on line "), F.col("line").cast("string"), F.lit(" matched nothing")).alias("what")))
