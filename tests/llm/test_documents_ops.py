@@ -74,6 +74,65 @@ def test_language_without_labels_is_undetermined(docs):
     assert {r["lang_pred"] for r in got} == {"und"}
 
 
+def test_numerals_are_no_letters(spark, docs):
+    odd = spark.createDataFrame([(1000 + i, t, None, None, 0) for i, t in enumerate(["½", "²½ Ⅷ", "½ 12 _", "\u0301", "ª", "ñ"])], DOCS)
+    got = {r["doc_id"]: r for r in langid.identify(docs.union(odd)).collect() if (r["doc_id"] or 0) >= 1000}
+    assert [got[i]["lang_pred"] for i in range(1000, 1004)] == ["und"] * 4 and all(got[i]["score"] == 0 and got[i]["rejected"] for i in range(1000, 1004))
+    assert all(got[i]["lang_pred"] != "und" for i in (1004, 1005))
+
+
+def test_a_language_of_many_copies_is_learned(spark):
+    copies = spark.range(8000).select("id", F.lit(EN).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(8000, 11000).select("id", F.concat(F.lit(FR), F.col("id").cast("string"), F.lit(" "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("fr").alias("lang"))
+    assert sorted(langid.learn(copies.union(others))) == ["en", "fr"]
+    assert sorted(langid.learn(copies.union(others), langid.LangIdParams(max_languages=1))) == ["fr"]
+
+
+def test_predictions_equal_brute_force(docs):
+    import zstandard
+
+    params = langid.LangIdParams()
+    contents = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))), params)
+    assert sorted(contents) == ["en", "fr"]
+
+    def size(lang, data):
+        shared = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(params.level, write_content_size=False, write_dict_id=False, write_checksum=False)
+        encoder = zstandard.ZstdCompressor(dict_data=shared, compression_params=settings)
+        return sum(len(encoder.compress(data[i : i + params.chunk_bytes])) for i in range(0, len(data), params.chunk_bytes))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.identify(docs, params).collect():
+        letters = " ".join("".join(c if c.isalpha() else " " for c in (texts[r["doc_id"]] or "").lower()).split())
+        if not letters:
+            assert r["lang_pred"] == "und"
+            continue
+        data = f" {letters} ".encode()
+        (best, lang), (second, _) = sorted((size(x, data), x) for x in contents)
+        assert (r["lang_pred"], r["margin_bytes"]) == (lang, second - best) and r["score"] == pytest.approx(1 - best / second)
+        assert r["rejected"] == (1 - best / second < params.reject_margin)
+    tie = langid.Classifier({"b": contents["en"], "a": contents["en"]}, params)
+    assert tie.classify("the quick fox") == ("a", 0.0, True, 0)
+
+
+def test_order_of_shards_equals_brute_force(spark, docs):
+    big = docs.select("doc_id", "text", "source").union(spark.range(100, 900).select("id", F.concat(F.lit("t"), F.col("id") % 50), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold")))
+    size, crc = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 16, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    stratum = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    marked = big.withColumns({"size": size, "crc": crc, "stratum": stratum}).withColumns({"u": sharding.unit_hash(F.lit(11), "doc_id", "crc", "size"), "phase": sharding.unit_hash(F.lit(12), "stratum")}).collect()
+    last = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["crc"], r["size"])
+    strata = defaultdict(list)
+    for r in sorted(marked, key=lambda r: (r["u"], last(r))):
+        strata[r["stratum"]].append(r)
+    order = sorted(((k + r["phase"]) / len(own), name, r["u"], last(r)) for name, own in strata.items() for k, r in enumerate(own))
+    n, want = len(order), []
+    for pos, (*_, (has_id, doc_id, crc32, size_)) in enumerate(order):
+        shard = pos * 40 // n
+        want.append((doc_id if has_id else None, size_, crc32, shard, pos - -(-shard * n // 40)))
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleave(big).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_shards_hold_equal_counts_and_the_mixture(spark, docs, clashing, empty):
     big = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     got = sharding.interleave(big, 40).collect()
@@ -171,6 +230,37 @@ def test_chains_and_dense_groups_are_linked(spark):
     assert max(Counter(r["a"] for r in edges).values()) < 200
 
 
+def test_a_wider_radius_finds_the_same_components(spark):
+    rng = random.Random(21)
+    centres = [rng.getrandbits(64) for _ in range(60)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centres for _ in range(12)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in sorted(fps)], "fp long")
+    from assaykit.llm.components import components
+
+    narrow, wide = (collected(components(simhash.link_fingerprints(df, radius))) for radius in (2, 3))
+    assert narrow == wide and len(narrow) > 100
+    want = brute_components([(signed(v), v) for v in sorted(fps)])
+    sets = defaultdict(set)
+    for v, c in zip(sorted(fps), want):
+        sets[c].add(signed(v))
+    assert {n: c for n, c in narrow} == {n: min(own) for own in sets.values() if len(own) > 1 for n in own}
+
+
+def test_largest_id_is_no_null(spark):
+    most, text = (1 << 63) - 1, "some words that are the same in each of these rows"
+    df = spark.createDataFrame([(most, text), (None, text), (None, "quite another text of which there is but one")], "doc_id long, text string")
+    got = collected(simhash.near_duplicates(df).select("doc_id", "component_id"))
+    assert got == sorted([(most, most), (None, most), (None, None)], key=repr)
+    assert collected(simhash.keep_one_of_each(df).select("doc_id")) == sorted([(most,), (None,)], key=repr)
+
+
+def test_repeated_rows_leave_one(spark):
+    df = spark.createDataFrame([(None, "equal rows " * 5, {"a": i % 2}, i % 2) for i in range(500)], "doc_id long, text string, m map<string,int>, own int")
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == 1
+
+
 def test_components_of_odd_edges(spark):
     from assaykit.llm.components import components
 
@@ -279,6 +369,22 @@ def test_leaks_and_reordered_passages(spark, docs, clashing, empty):
     assert collected(in_blocks) == collected(tiling.leaks(df, bench))
 
 
+def test_leaks_of_repetitive_texts_and_many_blocks(spark, docs):
+    import tracemalloc
+
+    index = tiling.Index([(1, "a " * 200), (2, "a " * 100 + " ".join(map(str, range(100))))], tiling.TilingParams())
+    tracemalloc.start()
+    assert index.leaks("a " * 300_000) == [(1, 1.0, 1, 200, 200), (2, 0.5, 1, 100, 200)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    bench = spark.createDataFrame([(i, f"{EN} item {i}" if i % 3 else f"nobody ever wrote this sentence number {i} here") for i in range(20)] + [(None, EN), (7, None), (3, f"{EN} item {3}")], "item_id long, text string")
+    one, many = tiling.TilingParams(), tiling.TilingParams(block_bytes=300)
+    texts = docs.union(spark.createDataFrame([(900, EN * 2, "en", "s", 0)], DOCS))
+    assert len(list(tiling.blocks(bench, many))) > 4
+    assert collected(tiling.leaks(texts, bench, one)) == collected(tiling.leaks(texts, bench, many)) != []
+    assert collected(tiling.keep_clean(texts, bench, one)) == collected(tiling.keep_clean(texts, bench, many))
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, dup, seen = (text or "").split("\n"), 0, set()
@@ -317,6 +423,36 @@ def test_bands_reject_repetition_and_noise():
     assert noise and bands.verdict("", enc, limits) == (None, None, None)
 
 
+def test_verdicts_equal_brute_force(docs):
+    import zstandard
+
+    limits = bands.BandLimits()
+
+    def ratio(data):
+        return len(data) / len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(data))
+
+    def out(data, low, high):
+        return (ratio(data) < low) + 2 * (ratio(data) > high)
+
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60)) for _ in range(400))
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(2500))
+    texts = [r["text"] or "" for r in docs.collect()] + [noise, prose, prose[:5000] + noise[:3000], prose[:4096] + noise[:9000], prose[:3900] + "spam " * 900, noise[:12_000] + "spam " * 1600, "spam " * 2000, prose[:300], noise[:300]]
+    encoder = zstandard.ZstdCompressor(level=limits.level, write_content_size=False, write_checksum=False)
+    reasons = Counter()
+    for t in texts:
+        data = t.encode()
+        whole = out(data, *next((lo, hi) for n, lo, hi in reversed(limits.whole) if n <= len(data))) if data else 0
+        parts = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        verdicts = [(len(x), out(x, *limits.chunk) if len(x) == 4096 else out(x, *next((lo, hi) for n, lo, hi in reversed(limits.whole) if n <= len(x)))) for x in parts]
+        bad = sum(n for n, v in verdicts if v)
+        _, share, reason = bands.verdict(t, encoder, limits)
+        assert share == (bad / len(data) if parts else None)
+        assert (reason is not None) == bool(whole or bad > 0.5 * len(data))
+        reasons[reason] += 1
+    assert {"whole repetitive", "whole incompressible", "chunks incompressible", None} <= set(reasons), reasons
+
+
 def test_bands_reject_encoded_data_and_repeated_sentences_of_every_length(spark):
     import base64
 
@@ -393,3 +529,35 @@ def test_ibans_of_the_whole_registry():
             assert pii.redact(text) == "Please pay to [IBAN] AND SOON."
         wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 100:02}" + iban[4:]
         assert not [k for k, *_ in pii.find(f"Please pay to {wrong} AND SOON.")[1] if k == "iban"]
+
+
+def test_further_kinds_equal_a_plain_search():
+    """Short cards and national ids: every place is tried, with Luhn by digits and context words by hand."""
+    rng = random.Random(17)
+    pieces = ["card ", "amex: ", "ssn ", "example ", "security ", "378282246310005", "3782 822463 10005", "378282246310006", "4222222222222", "078-05-1120", "078-05-112", "1-078-05-1120", " and ", "\n", "x", "5555-5555"]
+
+    def plain_luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 7)))
+        base, extra = pii.find(t)
+        taken = [x for v in base.values() for x in v]
+        want = []
+        for kind in ("card_short", "national_id"):
+            at = 0
+            while at < len(t):
+                rx = r"[0-9](?:[ -]?[0-9]){12,14}(?![ -]?[0-9])" if kind == "card_short" else r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+                m = re.compile(rx).match(t, at) if not re.match(r"[0-9]" if kind == "card_short" else r"[0-9-]", t[at - 1 : at] if at else "") else None
+                if not m:
+                    at += 1
+                    continue
+                a, b = m.span()
+                at = b
+                near = re.findall("[a-z]+", t[max(0, a - 48) : a].lower() + " " + t[b : b + 24].lower())
+                hit = any(w == "card" or w.startswith("amex") for w in near) if kind == "card_short" else any(w == "ssn" or w.startswith("security") for w in near)
+                s = 0.4 + 0.25 * hit - 0.25 * ("example" in near)
+                if (kind == "national_id" or plain_luhn(re.sub("[^0-9]", "", m[0]))) and s >= 0.6 and not any(x < b and a < y for x, y in taken):
+                    want.append((kind, a, b))
+                    taken.append((a, b))
+        assert [x[:3] for x in extra] == want, t

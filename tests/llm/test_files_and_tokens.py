@@ -112,7 +112,7 @@ def test_plan_places_every_remainder_once():
 
 
 def test_repair_round_trip(spark, docs, clashing):
-    p = repair.RePairParams(PATH, block_ids=3000, shard_docs=30)
+    p = repair.RePairParams(PATH, block_ids=3000, shard_bytes=40_000)
     got = repair.round_trip(docs, p).collect()
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     assert len(got) == len(rows)
@@ -129,6 +129,34 @@ def test_repair_round_trip(spark, docs, clashing):
     assert repair.round_trip(docs.limit(0), p).count() == 0
 
 
+def test_smallest_id_is_no_null(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "a"), (None, "b c"), (None, None), (0, "d")], "doc_id long, text string")
+    got = repair.round_trip(df, repair.RePairParams(PATH)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, least, 0] and got[2]["ids_crc32"] == zlib.crc32(ids_of("a", 2).tobytes())
+
+
+def test_running_totals_equal_a_window(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    got = {r["id"]: r["before"] for r in common.running_total(df, "id", "v", "before", 32).collect()}
+    assert got == {i: sum(k % 7 for k in range(i)) for i in range(1000)}
+    assert common.running_total(df.limit(0), "id", "v", "before").count() == 0
+
+
+def test_scratch_asks_for_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch(far, "x")
+    df = common.written(spark.range(3), "gone")
+    assert df.count() == 3
+    common.discard(df)
+    with pytest.raises(Exception, match="(?i)not exist|not found|FILE_NOT_EXIST"):
+        spark.read.parquet(df._written_to).count()
+
+
 def test_grammar_is_exact_and_random_access():
     rng = np.random.default_rng(4)
     p = repair.RePairParams(PATH, rounds=6, rules_a_round=50, min_count=2)
@@ -137,7 +165,7 @@ def test_grammar_is_exact_and_random_access():
             lengths = rng.integers(1, 60, size=rng.integers(1, 20))
             ids = (rng.zipf(1.6, size=lengths.sum()) % base).astype(np.uint32)
             g = repair.compress(ids, lengths, base, p)
-            data = repair.to_block(g, np.arange(len(lengths)), lengths, 3, 17) + b"\n"
+            data = repair.to_block(g, np.arange(len(lengths)), 0, lengths, 3, 17) + b"\n"
             (block,) = repair.read_blocks(data)
             assert (block.ids() == ids).all() and (block.shard, block.before) == (3, 17)
             ends = np.cumsum(lengths)
@@ -187,6 +215,29 @@ def test_warc_round_trip(spark):
     assert "\r" not in got[1]["url"] and warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_gaps_are_logged_and_lost_records_an_error(spark, tmp_path, monkeypatch):
+    data, _ = archive()
+    hurt = data[:400] + b"\x00" * 300 + data[700:]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc.gz").write_bytes(hurt)
+    records = warc.recovered(spark, str(tmp_path / "in"), str(tmp_path / "log"))
+    gaps = spark.read.json(str(tmp_path / "log")).collect()
+    assert 0 < records.count() < 30 and gaps and all(0 <= g["start"] < g["end"] <= len(hurt) and g["reason"] for g in gaps)
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(50)], PAGES)
+    write = warc.write
+    monkeypatch.setattr(warc, "write", lambda *a: write(*a) + 1)
+    with pytest.raises(RuntimeError, match="51 records were written and 50 read back"):
+        warc.round_trip(pages)
+
+
+def test_repeated_pages_get_a_record_each(spark):
+    long = "many bytes " * 200_000
+    data = [(1, "u", long)] * 2 + [(2, "u", long)] + [(3, "u", "x")] * 3 + [(None, None, None)] * 2
+    got = warc.round_trip(spark.createDataFrame(data, PAGES))
+    kinds = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got.collect()), key=repr)
+    assert kinds == sorted([(1, "response", None)] * 2 + [(2, "revisit", 1)] + [(3, "response", None)] * 3 + [(None, "response", None)] * 2, key=repr)
+
+
 def archive(n=30, plain=False):
     rng = random.Random(7)
     out, spans = b"", []
@@ -339,3 +390,22 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == seen[3] and corpus_pipeline.ORACLE_SQL is None
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema, item = "doc_id long, text string, lang string, source string, n_chars long", "item_id long, text string"
+    words = "the house stood near the river and the people who lived there were happy".split()
+    odd = [(1, " ".join(words * 9), "en", "s", 1)] * 4 + [(None, None, None, None, None)] * 3 + [(2, "", "en", "s", 0), (3, " ".join(words[::-1] * 20_000), "en", "s", 9), (None, "quite another text without an id, about a mill and its wheel", "en", "s", 9)]
+    for k, (rows, items) in enumerate([([], []), (odd, []), ([], [(1, "a b c")]), (odd, [(None, None), (2, "")])]):
+        where = f"{tmp_path}/{k}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame(items, item).write.parquet(f"{where}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, where).collect()
+        if not rows:
+            assert got == []
+            continue
+        # of the repeated rows one stays, those without a letter go
+        assert {r["doc_id"] for r in got} == {1, 3, None} and sum(r["doc_id"] == 1 and r["start"] == 0 for r in got) == 1
+        assert sum(r["length"] for r in got if r["doc_id"] == 3) == len(ids_of(odd[8][1], 0))
