@@ -190,8 +190,8 @@ def _identity(docs: DataFrame) -> Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, keep of every row of ``docs`` (doc_id, text).
-    keep is the identity of the one row of the component that stays."""
+    """doc_id, fingerprint (16 hex digits), component_id, own, keep of every row of ``docs`` (doc_id, text).
+    own is the row's identity, keep that of the one row of the component that stays."""
     rows = docs.select("doc_id", _identity(docs).alias("own"), fingerprints(docs["text"], words).alias("fp"))
     rows = written(rows, "fingerprints")
     by_fp = written(rows.groupBy("fp").agg(F.min("own").alias("first"), F.count("*").alias("n_copies")), "distinct")
@@ -203,15 +203,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     firsts = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("n_fps"))
     classes = lookup(rooted, "root", firsts, "keep", "n_fps", n_fps, F.col("fp")).select("fp", "keep", "n_copies")
     out = lookup(rows, "fp", classes, "keep", "n_copies", n, F.col("own"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(~F.col("keep.no_id"), F.col("keep.id")).alias("component_id"), "keep")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(~F.col("keep.no_id"), F.col("keep.id")).alias("component_id"), "own", "keep")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with all its columns, one row of each component: the one with the smallest doc_id."""
-    keep, own, row = fresh(docs, "keep", "own", "row")
-    keepers = near_duplicates(docs, words).select(F.col("keep").alias(keep)).distinct()
-    kept = docs.withColumn(own, _identity(docs)).join(keepers, F.col(own) == F.col(keep), "left_semi")
-    # repeated rows share id and text: one of them stays. Each task merges its own before they move
+    keep, own, n, row = fresh(docs, "keep", "own", "n", "row")
+    stays = near_duplicates(docs, words).filter("own = keep").groupBy(F.col("keep").alias(keep)).agg(F.count("*").alias(n))
+    keepers = written(stays, "keepers")
     every = [F.col(f"`{c}`") for c in docs.columns]
+    both = docs.withColumn(own, _identity(docs)).join(keepers, F.col(own) == F.col(keep))
+    if (keepers.agg(F.max(n)).first()[0] or 0) < 2:
+        return both.select(*every)
+    # repeated rows share id and text: one of them stays. Each task merges its own before they move; the others don't move again
     order = F.xxhash64(*[c for c, (_, kind) in zip(every, docs.dtypes) if "map<" not in kind and kind != "variant"])
-    return kept.groupBy(own).agg(F.min_by(F.struct(*every), order).alias(row)).select(f"{row}.*")
+    merged = both.filter(F.col(n) > 1).groupBy(own).agg(F.min_by(F.struct(*every), order).alias(row)).select(f"{row}.*")
+    return both.filter(F.col(n) == 1).select(*every).union(merged)
