@@ -96,16 +96,17 @@ _PERCENT = ("%", "percent", "percentage", "share", "proportion")
 
 @rule("numbers/table-arithmetic", "med", "cells", "Totals of parts that the table doesn't show, and columns whose rows have denominators of their own.")
 def table_arithmetic(s: Slices) -> Found:
+    # a document's cells meet its own cells: both sides grow with the documents, whatever their files' sizes say, so none is broadcast
     body = s["cells"].filter("row > 0 AND NOT irregular")
     totals = body.filter(F.col("col") == 0).filter(F.rtrim(F.lower(F.trim("text")), F.lit(":")).isin(*_TOTALS)).select("doc_id", "table", F.col("row").alias("total_row"))
     nums = body.filter("number IS NOT NULL AND col > 0")
-    stated = totals.join(nums, ["doc_id", "table"]).filter("total_row = row").select("doc_id", "table", "col", "total_row", F.col("number").alias("stated"), F.col("start").alias("at"), "name")
-    parts = stated.join(nums.select("doc_id", "table", "col", "row", "number", "decimals", F.col("start").alias("part_at")), ["doc_id", "table", "col"]).filter("row <> total_row")
+    stated = totals.hint("merge").join(nums, ["doc_id", "table"]).filter("total_row = row").select("doc_id", "table", "col", "total_row", F.col("number").alias("stated"), F.col("start").alias("at"), "name")
+    parts = stated.hint("merge").join(nums.select("doc_id", "table", "col", "row", "number", "decimals", F.col("start").alias("part_at")), ["doc_id", "table", "col"]).filter("row <> total_row")
     sums = parts.groupBy("doc_id", "table", "col", "total_row", "stated", "at", "name").agg(F.sum(F.col("number").cast("decimal(28,6)")).cast("double").alias("summed"), F.count("*").alias("n"), F.max("decimals").alias("d"), F.min("part_at").alias("part_at"))
     bad = sums.filter((F.col("n") >= 2) & (F.abs(F.col("summed") - F.col("stated")) > 5 * F.pow(F.lit(10.0), -(F.col("d") + 1)) * F.col("n") + 1e-9))
     out = _find(bad, "numbers/table-arithmetic", _s("", "name", " states a total of ", "stated", ", but its ", "n", " entries sum to ", "summed"), F.array(_at("paper", "at"), _at("paper", "part_at")))
     heads = s["cells"].filter("row = 0 AND NOT irregular").filter(F.exists(F.array(*map(F.lit, _PERCENT)), lambda w: F.contains(F.lower("text"), w))).select("doc_id", "table", "col", F.col("text").alias("head"))
-    shares = nums.join(heads, ["doc_id", "table", "col"]).join(totals.select("doc_id", "table").distinct(), ["doc_id", "table"], "left_anti")
+    shares = nums.join(heads.hint("merge"), ["doc_id", "table", "col"]).join(totals.select("doc_id", "table").distinct().hint("merge"), ["doc_id", "table"], "left_anti")
     whole = shares.groupBy("doc_id", "table", "col", "name", "head").agg(F.sum(F.col("number").cast("decimal(28,6)")).cast("double").alias("summed"), F.count("*").alias("n"), F.max("decimals").alias("d"), F.bool_and(F.col("number").between(0, 100)).alias("ok"), F.min("start").alias("a"), F.max("start").alias("b"))
     off = F.abs(F.col("summed") - 100)
     near = whole.filter((F.col("n") >= 3) & F.col("ok") & (off > 5 * F.pow(F.lit(10.0), -(F.col("d") + 1)) * F.col("n")) & (off <= 5))
