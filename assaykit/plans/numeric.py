@@ -47,10 +47,11 @@ n AS (SELECT part, stated, list_sort(list_transform(cells, lambda x: {'d': abs(x
 SELECT part, stated, nearest, round(abs(stated - nearest) / abs(nearest)::DOUBLE, 6) AS gap FROM n WHERE abs(stated - nearest) / abs(nearest)::DOUBLE <= 0.02
 """)
 def q09_near_miss_value(spark: SparkSession, d: str) -> DataFrame:
-    cents = lambda c: F.round(100 * c).cast("long")
-    cells = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("cell"))
-    stated = table(spark, d, "part").select(F.col("p_partkey").alias("part"), cents(F.col("p_retailprice")).alias("stated"))
-    return intervals.near_misses(stated, cells, ["part"], "stated", "cell", most=40).select("part", "stated", "nearest", F.round("gap", 6).alias("gap"))
+    """As in SQL, prices times 100 are divided by quantities, and millionths of the gap are rounded: in another order of the steps, halves fall to the other side."""
+    cents = lambda c: F.round(c).cast("long")
+    cells = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), cents(100 * F.col("l_extendedprice") / F.col("l_quantity")).alias("cell"))
+    stated = table(spark, d, "part").select(F.col("p_partkey").alias("part"), cents(100 * F.col("p_retailprice")).alias("stated"))
+    return intervals.near_misses(stated, cells, ["part"], "stated", "cell", most=40).select("part", "stated", "nearest", (F.round(1e6 * F.col("gap")) / 1e6).alias("gap"))
 
 
 _GRIM_SQL = """

@@ -72,3 +72,18 @@ def test_table_arithmetic_broadcasts_no_cells(spark):
     df = plans.queries()["q74_rule_table_arithmetic"](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 4
+
+
+def test_near_miss_rounds_halves_as_its_sql(spark, tmp_path):
+    """Cells of (nearly) half a cent by the order of multiplication and division, and a gap that ends in half a millionth."""
+    import duckdb
+
+    lines = [(1, 17842.05, 18.0), (2, 18684.1, 20.0), (3, 800.0, 1.0), (4, 2000.0, 2.0)]
+    spark.createDataFrame(lines, "l_partkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 996.7), (2, 945.9), (3, 801.57), (4, 1000.0)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, plans.queries()["q09_near_miss_value"](spark, str(tmp_path)).collect()))
+    assert got == sorted(c.execute(plans.oracle_sql()["q09_near_miss_value"]).fetchall())
+    assert [r[:3] for r in got] == [(1, 99670, 99123), (2, 94590, 93420), (3, 80157, 80000)]
